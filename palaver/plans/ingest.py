@@ -165,10 +165,10 @@ def publish_star(raw: Tables, folder: str, zone: str = "UTC") -> Tables:
     """Full rebuild of the star schema in ``folder``; later tables read the written earlier ones."""
     spark = raw["message"].sparkSession
     write_star(dimensions(raw), folder)
-    dims = read_star(spark, folder)
+    dims = read_star(spark, folder, ("persons", "handles", "chat_members", "chats"))
     write_star({"messages": derived_messages(raw, dims, zone), "tapbacks": derived_tapbacks(raw, dims),
                 "attachments": attachment_scan(raw)}, folder)
-    write_star({"emoji_uses": emoji_uses(read_star(spark, folder)["messages"])}, folder)
+    write_star({"emoji_uses": emoji_uses(read_star(spark, folder, ("messages",))["messages"])}, folder)
     return read_star(spark, folder)
 
 

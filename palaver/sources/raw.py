@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import normalize_handle
 from .schemas import RAW, STAR
@@ -62,17 +63,19 @@ def write_star(star: Tables, folder: str) -> None:
     for name, table in star.items():
         df = conform(table, STAR[name])
         if name == "messages":
-            df.withColumn("month", F.date_format("ts_local", "yyyy-MM")).write.mode("overwrite").partitionBy(
-                "month").parquet(f"{folder}/{name}")
+            # Rebalancing splits a crowded month over several tasks and keeps quiet months in few files.
+            monthly = df.withColumn("month", F.date_format("ts_local", "yyyy-MM")).hint("rebalance", "month")
+            monthly.write.mode("overwrite").partitionBy("month").parquet(f"{folder}/{name}")
         else:
             df.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
-def read_star(spark: SparkSession, folder: str) -> Tables:
+def read_star(spark: SparkSession, folder: str, names: tuple[str, ...] = tuple(STAR)) -> Tables:
     out = {}
-    for name, schema in STAR.items():
+    for name in names:
+        schema = STAR[name]
         if name == "messages":
-            schema = type(schema)(schema.fields).add("month", "string")
+            schema = StructType([*schema.fields, StructField("month", StringType())])
         out[name] = spark.read.schema(schema).parquet(f"{folder}/{name}")
     return out
 
