@@ -1,10 +1,10 @@
 """Text stored in a length-prefixed binary message body."""
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, functions as F
 
+from .expr import let
+
 # Fixed values of the body format: class name, bytes between it and the length, and the
 # lead bytes that announce a two-byte or four-byte little-endian length.
 CLASS_NAME = "NSString"
@@ -12,17 +12,12 @@ HEADER_BYTES = 5
 LONG_LENGTHS = {0x81: 2, 0x82: 4}
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times in one expression."""
-    return F.transform(F.array(value), use)[0]
-
-
 def body_text(blob: Column) -> Column:
     """Text of a body column, null when the body is absent, foreign or truncated.
 
     ISO-8859-1 maps each byte to one character, so string functions address bytes.
     """
-    return _let(F.decode(blob, "ISO-8859-1"), _payload)
+    return let(F.decode(blob, "ISO-8859-1"), _payload)
 
 
 def _payload(chars: Column) -> Column:
@@ -49,4 +44,4 @@ def _payload(chars: Column) -> Column:
     found = F.instr(chars, CLASS_NAME)
     lead_at = F.when(found > 0, found + F.lit(len(CLASS_NAME) + HEADER_BYTES))
     lead_at = F.when(lead_at <= F.char_length(chars), lead_at)
-    return _let(lead_at, lambda at: F.when(at.isNotNull(), _let(prefixed(at), content)))
+    return let(lead_at, lambda at: F.when(at.isNotNull(), let(prefixed(at), content)))

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .expr import let
 from .stopwords import STOPWORDS
 
 # White space as Unicode-aware string splitting defines it.
@@ -73,17 +74,13 @@ def is_content_word(word: Column) -> Column:
 
 def ngrams(words: Column, sizes: tuple[int, ...] = (2, 3)) -> Column:
     """All n-grams of an array of words, repeats kept."""
-    grams = [
-        F.when(
-            F.size(words) >= n,
-            F.transform(
-                F.sequence(F.lit(1), F.size(words) - (n - 1)),
-                lambda i, n=n: F.array_join(F.slice(words, i, n), " "),
-            ),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in sizes
-    ]
-    return F.concat(*grams)
+    return let(words, lambda w: F.concat(*[_ngrams_of(w, n) for n in sizes]))
+
+
+def _ngrams_of(words: Column, n: int) -> Column:
+    starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
+    grams = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+    return F.when(F.size(words) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
 def word_count(text: Column) -> Column:

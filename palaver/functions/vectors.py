@@ -5,6 +5,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .expr import let
+
 
 def as_doubles(v: Column) -> Column:
     return v.cast("array<double>")
@@ -25,8 +27,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """L2-normalised vector, null when it has no length."""
-    n = norm(v)
-    return F.when(n > 1e-9, F.transform(as_doubles(v), lambda x: x / n))
+    return let(as_doubles(v), lambda d: let(norm(d), lambda n: F.when(n > 1e-9, F.transform(d, lambda x: x / n))))
 
 
 def weighted_centroids(df: DataFrame, keys: list[str], vector: str, weight: str) -> DataFrame:
