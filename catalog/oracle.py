@@ -104,6 +104,46 @@ TABLES: dict[str, str] = {
                arg_min(is_from_me, msg_key) AS first_mine, arg_max(is_from_me, msg_key) AS last_mine
         FROM (SELECT *, epoch_us(ts_utc)::HUGEINT * 100000000000 + msg_id AS msg_key FROM messages)
         GROUP BY ALL""",
+    "texts": """
+        SELECT trim(text) AS text, min(msg_id) AS text_id, count(*) AS total, count(*) FILTER (is_from_me) AS mine
+        FROM messages WHERE length(trim(text)) > 0 GROUP BY 1""",
+    "vecs": """
+        SELECT t.text_id, e.embedding::DOUBLE[] AS embedding, e.label::BIGINT AS label
+        FROM texts t JOIN embeddings e ON e.vec_id = t.text_id % (SELECT count(*) FROM embeddings)""",
+    "named": "SELECT person_id, display_name FROM persons WHERE NOT starts_with(display_name, 'urn:')",
+    "said": """
+        SELECT m.msg_id, t.text_id, m.chat_id, m.session_id, m.ts_utc, m.is_from_me, m.grp, n.person_id AS named_id,
+               strftime(m.ts_local, '%Y') AS year, strftime(m.ts_local, '%Y-%m') AS month,
+               strftime(date_trunc('week', m.ts_local), '%Y-%m-%d') AS week, m.word_count, t.text
+        FROM messages m JOIN texts t ON t.text = trim(m.text) LEFT JOIN named n ON n.person_id = m.person_id""",
+    "scoped": """
+        SELECT scope, text_id, count(*) AS n FROM (
+            SELECT 'me' AS scope, text_id FROM said WHERE is_from_me
+            UNION ALL SELECT 'period:' || week, text_id FROM said WHERE is_from_me
+            UNION ALL SELECT 'me_with:' || named_id, text_id FROM said WHERE is_from_me AND NOT grp AND named_id IS NOT NULL
+            UNION ALL SELECT 'them:' || named_id, text_id FROM said WHERE NOT is_from_me AND NOT grp AND named_id IS NOT NULL)
+        GROUP BY 1, 2""",
+    "centroids": """
+        SELECT scope, weight, list(x / norm ORDER BY i) AS centroid
+        FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY scope)) AS norm
+              FROM (SELECT scope, i, sum(n) AS weight, sum(n * x) / sum(n) AS x
+                    FROM (SELECT scope, n, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS i
+                          FROM scoped JOIN vecs USING (text_id)) GROUP BY 1, 2))
+        GROUP BY 1, 2""",
+    "people_vectors": """
+        SELECT person_id, period, msgs, list(x / norm ORDER BY i) AS centroid
+        FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY person_id, period)) AS norm
+              FROM (SELECT named_id AS person_id, period, i, sum(n)::BIGINT AS msgs, sum(n * x) / sum(n) AS x
+                    FROM (SELECT named_id, period, n, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS i
+                          FROM (SELECT named_id, text_id, 'all' AS period, count(*) AS n FROM said
+                                WHERE NOT is_from_me AND named_id IS NOT NULL GROUP BY 1, 2
+                                UNION ALL
+                                SELECT named_id, text_id, year, count(*) FROM said
+                                WHERE NOT is_from_me AND named_id IS NOT NULL GROUP BY 1, 2, 3) JOIN vecs USING (text_id))
+                    WHERE named_id IN (SELECT named_id FROM said WHERE NOT is_from_me AND named_id IS NOT NULL
+                                       GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 40)
+                    GROUP BY 1, 2, 3))
+        WHERE period = 'all' OR msgs >= 30 GROUP BY 1, 2, 3""",
     "groups": """
         SELECT chat_id, coalesce(nullif(name, ''), 'Group ' || chat_id) AS name, participant_count
         FROM chats WHERE is_group""",
