@@ -165,6 +165,6 @@ def with_prelude(sql: str, extra: dict[str, str] | None = None) -> str:
     visit(sql)
     if not needed:
         return sql
-    head = "WITH " + ",\n".join(f"{name} AS ({tables[name]})" for name in needed)
+    head = "WITH RECURSIVE " + ",\n".join(f"{name} AS ({tables[name]})" for name in needed)
     own = re.match(r"\s*WITH\s+", sql)
     return f"{head},\n{sql[own.end():]}" if own else f"{head}\n{sql}"

@@ -17,7 +17,8 @@ from .topk import seeded_order, top_per_group
 
 MAX_PIVOTS = 1024
 BLOCK = 1024
-SLACK = 1e-9
+SLACK = 1e-4  # covers distances that round to the same value
+DIGITS = 9
 
 
 def _euclid(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -27,7 +28,10 @@ def _euclid(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def nearest_neighbours(vectors: DataFrame, k: int = 50, id_col: str = "id", vector: str = "embedding",
                        pivots: int | None = None, block: int = BLOCK, seed: int = 0) -> DataFrame:
-    """(src, dst, rank, dist): the k nearest rows of each row, itself excluded, ties by id."""
+    """(src, dst, rank, dist): the k nearest rows of each row, itself excluded.
+
+    Distances are kept to nine digits; equal ones are ordered by id.
+    """
     rows = materialize(
         vectors.select(F.col(id_col).alias("id"), unit(F.col(vector)).alias("u")).where(F.col("u").isNotNull()), "units")
     reps = rows.groupBy("u").agg(F.min("id").alias("rep"))
@@ -83,11 +87,11 @@ def nearest_neighbours(vectors: DataFrame, k: int = 50, id_col: str = "id", vect
     def meet(batches):
         for frame in batches:
             for asks, qs, reps_, us in zip(frame["asks"], frame["qs"], frame["reps"], frame["us"]):
-                q, x = np.stack(qs), np.stack(us)
-                d = 1.0 - q @ x.T
-                names = np.asarray(reps_)
+                order = np.argsort(np.asarray(reps_), kind="stable")
+                names, x = np.asarray(reps_)[order], np.stack(us)[order]
+                d = np.maximum(np.round(1.0 - np.stack(qs) @ x.T, DIGITS), 0.0) + 0.0
                 top = min(k + 1, len(names))
-                best = np.argpartition(d, top - 1, axis=1)[:, :top]
+                best = np.argsort(d, axis=1, kind="stable")[:, :top]
                 yield pd.DataFrame({
                     "rep": np.repeat(np.asarray(asks), top), "near": names[best].ravel(),
                     "dist": np.take_along_axis(d, best, 1).ravel()})
@@ -95,8 +99,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 50, id_col: str = "id", vect
     met = queries.join(blocks.select("cell", "reps", "us"), "cell").mapInPandas(
         meet, f"rep {rep_type}, near {rep_type}, dist double")
     same = F.col("rep") == F.col("near")
-    near = top_per_group(met.withColumn("dist", F.when(same, 0.0).otherwise(F.greatest("dist", F.lit(0.0)))),
-                         ["rep"], [F.asc("dist"), F.asc("near")], k + 1).drop("rank")
+    near = top_per_group(met.withColumn("dist", F.when(same, 0.0).otherwise(F.col("dist"))), ["rep"], [F.asc("dist"), F.asc("near")], k + 1).drop("rank")
     heads = top_per_group(members, ["rep"], [F.asc("id")], k + 1).select(F.col("rep").alias("near"), F.col("id").alias("dst"))
     lists = top_per_group(near.join(heads, "near"), ["rep"], [F.asc("dist"), F.asc("dst")], k + 1).drop("rank", "near")
     pairs = members.withColumnRenamed("id", "src").join(lists, "rep").where(F.col("src") != F.col("dst"))
