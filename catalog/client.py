@@ -1 +1,102 @@
-"""Pending."""
+"""Chart and list queries C1-C11."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from palaver.plans import client as c, groups as g, language as l, owner as o, persons as p
+
+from .base import AS_OF, Archive, register, shape
+from .graph import s_docs, s_texts
+from .language import centroids
+from .persons import LEADER_COLUMNS, bucket, leader_sql, leaderboard, r
+from .sessions import first_labels
+
+
+@register("c1_pivot_series", f"""
+    SELECT {bucket('week', 'ts_local')} AS bucket, count(*) FILTER (contact_id = 1) AS p1, count(*) FILTER (contact_id = 2) AS p2,
+           count(*) FILTER (contact_id = 3) AS p3 FROM dm WHERE contact_id IN (1, 2, 3) GROUP BY 1""")
+def _(a: Archive):
+    return shape(c.pivot_series(p.compare(a.star, [1, 2, 3], "week"), {1: "p1", 2: "p2", 3: "p3"}), bucket="s", p1="n", p2="n", p3="n")
+
+
+@register("c2_dense_calendar", """
+    WITH d AS (SELECT ts_local::DATE AS day, count(*) AS n FROM messages WHERE is_from_me GROUP BY 1),
+    y AS (SELECT DISTINCT year(day) AS year FROM d),
+    e AS (SELECT year, make_date(year, 1, 1) AS first, unnest(generate_series(make_date(year, 1, 1), make_date(year, 12, 31), INTERVAL 1 DAY))::DATE AS day FROM y)
+    SELECT year, strftime(e.day, '%Y-%m-%d') AS date, ((dayofyear(e.day) - 1 + dayofweek(first)) // 7) AS week, dayofweek(e.day) AS weekday, coalesce(n, 0) AS count
+    FROM e LEFT JOIN d USING (day)""")
+def _(a: Archive):
+    return shape(c.dense_calendar(o.calendar(a.messages)), year="n", date="s", week="n", weekday="n", count="n")
+
+
+@register("c3_trailing_volume", f"""
+    WITH s AS (SELECT contact_id, {bucket('week', 'ts_local')} AS bucket, count(*) AS n FROM dm GROUP BY 1, 2),
+    e AS (SELECT contact_id, bucket FROM (SELECT DISTINCT contact_id FROM s), (SELECT DISTINCT bucket FROM s))
+    SELECT contact_id AS person_id, bucket, (sum(coalesce(n, 0)) OVER (PARTITION BY contact_id ORDER BY bucket ROWS 2 PRECEDING))::BIGINT AS volume
+    FROM e LEFT JOIN s USING (contact_id, bucket)""")
+def _(a: Archive):
+    series = p.time_series(a.star).select("person_id", "bucket", (F.col("sent") + F.col("received")).alias("count"))
+    return shape(c.trailing_volume(series), person_id="n", bucket="s", volume="n")
+
+
+@register("c4_rerank_by_reply_time", leader_sql())
+def _(a: Archive):
+    return shape(c.rerank(leaderboard(a), "median_response_seconds_them", AS_OF, hide_quiet=True), **LEADER_COLUMNS)
+
+
+@register("c5_badges", """
+    WITH days AS (SELECT DISTINCT contact_id, ts_local::DATE AS day FROM dm),
+    x AS (SELECT *, row_number() OVER (PARTITION BY contact_id ORDER BY day DESC) AS i, max(day) OVER (PARTITION BY contact_id) AS top FROM days),
+    s AS (SELECT contact_id, count(*) FILTER (top - day = i - 1 AND top >= DATE '2024-01-30') AS streak FROM x GROUP BY 1),
+    q AS (SELECT contact_id, (epoch(TIMESTAMP '2024-01-31') - floor(epoch(max(ts_local)))) / 86400.0 AS quiet FROM dm GROUP BY 1)
+    SELECT n.person_id, CASE WHEN streak >= 3 THEN 'fire' WHEN quiet > 30 THEN 'moon' ELSE '' END AS badge,
+           CASE WHEN streak >= 3 THEN streak WHEN quiet > 30 THEN floor(quiet)::BIGINT ELSE 0 END AS days
+    FROM named n JOIN s ON s.contact_id = n.person_id JOIN q ON q.contact_id = n.person_id""")
+def _(a: Archive):
+    return shape(c.badges(leaderboard(a), AS_OF), person_id="n", badge="s", days="n")
+
+
+@register("c6_groups_by_share", f"""
+    SELECT chat_id, g.name, participant_count AS participants, count(*) AS total, {r('avg(is_from_me::INT)', 'my_share')}
+    FROM messages JOIN groups g USING (chat_id) GROUP BY 1, 2, 3""")
+def _(a: Archive):
+    return shape(c.rerank_groups(g.leaderboard(a.star, AS_OF), "my_share"), chat_id="n", name="s", participants="n", total="n", my_share="d")
+
+
+@register("c7_scaled_voice", f"""
+    WITH top AS (SELECT person_id FROM messages WHERE person_id IS NOT NULL AND NOT grp GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 30),
+    v AS (SELECT n.person_id, list_cosine_similarity(m.centroid, t.centroid) AS x FROM named n JOIN top USING (person_id)
+          JOIN centroids m ON m.scope = 'me_with:' || n.person_id JOIN centroids t ON t.scope = 'them:' || n.person_id)
+    SELECT person_id, {r('(x - min(x) OVER ()) / greatest(1e-9, max(x) OVER () - min(x) OVER ()) * 100 + 5', 'scaled')} FROM v""")
+def _(a: Archive):
+    return shape(c.scaled_ranking(l.voice(centroids(a), a.star), "mirroring"), person_id="n", scaled="d")
+
+
+@register("c8_community_year_counts", """
+    SELECT strftime(start_ts, '%Y') AS year, cluster_id, count(*) AS n FROM docs JOIN first_labels USING (session_id) GROUP BY 1, 2""")
+def _(a: Archive):
+    return shape(c.year_counts(s_docs(a), first_labels(a)), year="s", cluster_id="n", n="n")
+
+
+@register("c9_inner_communities", """
+    WITH x AS (SELECT chat_id * 100 + cluster_id // 2 AS fine, cluster_id AS outer_id, count(*) AS inside FROM docs JOIN first_labels USING (session_id) GROUP BY 1, 2)
+    SELECT fine AS cluster_id, outer_id, inside, total::BIGINT AS total FROM (SELECT *, sum(inside) OVER (PARTITION BY fine) AS total FROM x) WHERE inside >= 0.5 * total""")
+def _(a: Archive):
+    fine = s_docs(a).join(first_labels(a), "id").select("id", (F.col("chat_id") * 100 + F.floor(F.col("cluster_id") / 2)).alias("cluster_id"))
+    return shape(c.inner_communities(fine, first_labels(a)), cluster_id="n", outer_id="n", inside="n", total="n")
+
+
+@register("c10_parsed_transcripts")
+def _(a: Archive):
+    flat = s_texts(a).select("id", F.replace(F.col("disp_text"), F.lit("\n"), F.lit(" · ")).alias("snippet"))
+    rows = c.parsed_transcript(flat)
+    return rows.select("id", "line", "sender", "is_from_me", F.char_length("text").alias("chars"))
+
+
+@register("c11_dense_heatmap", f"""
+    WITH h AS (SELECT contact_id, dayofweek(ts_local) AS weekday, hour(ts_local) AS hour, count(*) AS n FROM dm GROUP BY 1, 2, 3),
+    e AS (SELECT contact_id, weekday, hour FROM (SELECT DISTINCT contact_id FROM h), range(7) a(weekday), range(24) b(hour))
+    SELECT contact_id AS person_id, weekday, hour, coalesce(n, 0) AS count, {r('coalesce(n, 0) / max(n) OVER (PARTITION BY contact_id)', 'scale')}
+    FROM e LEFT JOIN h USING (contact_id, weekday, hour)""")
+def _(a: Archive):
+    return shape(c.dense_heatmap(p.heatmap(a.star)), person_id="n", weekday="n", hour="n", count="n", scale="d")

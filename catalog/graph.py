@@ -421,8 +421,9 @@ def _(a: Archive):
 
 
 @register("g23_parent_links", """
-    SELECT vec_id % 7 AS cluster_id, label::BIGINT AS parent_cluster_id FROM embeddings GROUP BY 1, 2
-    QUALIFY row_number() OVER (PARTITION BY vec_id % 7 ORDER BY count(*) DESC, label) = 1""")
+    WITH c AS (SELECT vec_id % 7 AS cluster_id, label::BIGINT AS parent_cluster_id, count(*) AS n FROM embeddings GROUP BY 1, 2)
+    SELECT cluster_id, parent_cluster_id FROM c
+    QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, parent_cluster_id) = 1""")
 def _(a: Archive):
     fine = nodes(a).select("id", F.pmod("id", F.lit(7)).alias("cluster_id"))
     return shape(g.parents(fine, labels(a)), cluster_id="n", parent_cluster_id="n")
