@@ -12,7 +12,7 @@ from palaver.operators.components import connected_components
 from palaver.operators.knn import nearest_neighbours
 from palaver.operators.spectral import laplacian_eigenpairs
 from palaver.plans import graph as g
-from palaver.session import shared_dir
+from palaver.session import materialize, shared_dir
 from palaver.sources.raw import write_artifacts
 
 from .base import Archive, r6, register, shape
@@ -456,12 +456,14 @@ def _(a: Archive):
 
 
 def quality_row(name: str, graph_edges, labelled, vectors):
-    """clusters, modularity, mean conductance and coherence of one labeling, as one row."""
+    """clusters, modularity, mean conductance and coherence of one labeling, as one written row."""
+    labelled = materialize(labelled, "labeling")
     clusters = labelled.where("cluster_id >= 0").agg(F.count_distinct("cluster_id").alias("clusters"))
-    return clusters.select(F.lit(name).alias("name"), "clusters").withColumns({
+    row = clusters.select(F.lit(name).alias("name"), "clusters").withColumns({
         "modularity": g.modularity(graph_edges, labelled).scalar(),
         "mean_conductance": g.mean_top_conductance(graph_edges, labelled).scalar(),
         "coherence": g.coherence(vectors, labelled).scalar()})
+    return materialize(row, "quality")
 
 
 def stacked(rows):
@@ -510,9 +512,9 @@ def _(a: Archive):
     giants = a.keep("representation_stats", lambda: g.graph_stats(graph_nodes, graph_edges, ["graph"]))
     words = s_tokens(a)
     rows = a.keep("representations", lambda: stacked([
-        quality_row(k, parts[k], found.where(F.col("graph") == k).select("id", "cluster_id"), vectors[k]).withColumns({
+        materialize(quality_row(k, parts[k], found.where(F.col("graph") == k).select("id", "cluster_id"), vectors[k]).withColumns({
             "jaccard": g.edge_jaccard(g.edge_sample(parts[k]), words).scalar(),
-            "same_chat": g.same_chat_fraction(g.edge_sample(parts[k]), s_docs(a)).scalar()}) for k in parts]))
+            "same_chat": g.same_chat_fraction(g.edge_sample(parts[k]), s_docs(a)).scalar()}), "representation") for k in parts]))
     rows = rows.join(giants.select(F.col("graph").alias("name"), "giant_frac"), "name")
     best = rows.agg(F.max_by("name", F.col("jaccard") - 0.3 * F.col("same_chat"))).scalar()
     return shape(rows.withColumn("best", F.col("name") == best), name="s", jaccard="d", same_chat="d", giant_frac="d", clusters="n",
@@ -525,7 +527,7 @@ def _(a: Archive):
     methods.update({"density": density_labels(a), "k-means": kmeans_labels(a), "spectral": spectral_labels(a)})
     reference = at(a, 1.0)
     rows = a.keep("methods", lambda: stacked([
-        quality_row(name, s_edges(a), found, s_vectors(a)).withColumn("ari", g.adjusted_rand(reference, found).scalar())
+        materialize(quality_row(name, s_edges(a), found, s_vectors(a)).withColumn("ari", g.adjusted_rand(reference, found).scalar()), "method")
         for name, found in methods.items()]))
     return shape(rows, name="s", clusters="n", mean_conductance="d", coherence="d", ari="d")
 
