@@ -586,8 +586,9 @@ def community_rows(a: Archive):
             words = g.cluster_phrases(s_phrases(a), found, limit=8).withColumn("gamma", F.lit(gamma))
             none = rows.select("gamma", "cluster_id", "size").where("false").withColumn("label", F.lit(""))
             rows = g.label_communities(rows, none, words)
-            out.append(rows.select("gamma", "cluster_id", "label", "size", "top_contacts", "years", "from_me_frac", "initiated_frac",
-                                   "median_msgs", F.col("parent_cluster_id").cast("int").alias("parent_cluster_id")))
+            out.append(materialize(rows.select(
+                "gamma", "cluster_id", "label", "size", "top_contacts", "years", "from_me_frac", "initiated_frac", "median_msgs",
+                F.col("parent_cluster_id").cast("int").alias("parent_cluster_id")), "profiles"))
             coarser = found
         return stacked(out)
 
