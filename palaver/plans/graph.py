@@ -208,7 +208,7 @@ def diffusion(vectors: DataFrame, values: np.ndarray, t: int, dims: int = 32) ->
         "id", F.transform("c", lambda x: x / F.col("root")).alias("coords"))
 
 
-def density_clusters(nodes: DataFrame, knn: DataFrame, min_samples: int = 5, min_size: int = 10, quantile: float = 0.5) -> DataFrame:
+def density_clusters(nodes: DataFrame, knn: DataFrame, min_samples: int = 5, min_size: int = 10, quantile: float = 0.1) -> DataFrame:
     """Dense groups: mutual reachability on neighbour edges, cut at a quantile, small groups are noise (-1)."""
     core = knn.where(F.col("rank") == min_samples).select(F.col("src").alias("id"), F.col("dist").alias("core"))
     reach = knn.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "dist").distinct().join(

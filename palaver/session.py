@@ -17,11 +17,16 @@ def build_session(app_name: str = "palaver", master: str | None = None,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
         builder = builder.master(master)
         if master.startswith("local"):
-            builder = builder.config("spark.driver.memory", "12g")
+            # Small tables on one machine: small partitions keep all cores busy with text work.
+            builder = (
+                builder.config("spark.driver.memory", "12g")
+                .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "8m")
+                .config("spark.sql.files.maxPartitionBytes", "8m").config("spark.sql.files.openCostInBytes", "1m"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
