@@ -122,7 +122,7 @@ def js_distance(left: Column, right: Column) -> Column:
     return F.when((a == 0) | (b == 0), 0.0).otherwise(F.sqrt(F.greatest(divergence, F.lit(0.0))))
 
 
-def judge(docs: DataFrame, *carry: str, max_class: float = 0.3, max_common: float = 0.19,
+def judge(docs: DataFrame, *carry: str, max_class: float = 0.3, max_common: float = 0.14,
           noise: float = 1.1, min_chars: int = 200, min_words: int = 50) -> DataFrame:
     """The verdict of every document, with its counts and distances.
 
