@@ -114,7 +114,7 @@ def _draw(group: pd.DataFrame, block: int, seed: int) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: int = 2,
-        block: int = 128, shard_rows: int = 8192, seed: int = 7) -> DataFrame:
+        block: int = 32, shard_rows: int = 8192, seed: int = 7) -> DataFrame:
     """doc_id, size, source, source_size, target and taken (words, repeats counted) per document.
 
     ``share``: size of the mix against all words; ``block``: words in a block;

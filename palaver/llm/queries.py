@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, packing, quality, topk, urls, warc
+from . import language, mixing, neardup, packing, quality, topk, urls, warc
 from .common import table
 from .sql import ORACLES  # noqa: F401
 
@@ -36,6 +36,11 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents"), "doc_id")
 
 
+@register
+def op6_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.groups(table(spark, folder, "documents")).drop("key")
+
+
 @register
 def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).drop("source")
