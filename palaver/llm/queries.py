@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, neardup, packing, quality, topk, urls, warc
+from . import language, mixing, neardup, packing, quality, secrets, topk, urls, warc, wrappers
 from .common import table
 from .sql import ORACLES  # noqa: F401
 
@@ -21,6 +21,16 @@ RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
          ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
+@register
+def op1_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, folder, "documents")))
+
+
+@register
+def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return wrappers.main_text(table(spark, folder, "pages"), "page_id")
+
+
 @register
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
