@@ -20,6 +20,16 @@ from palaver.session import materialize
 from .common import mix64, plain, slices_for
 
 
+def _order(seed: int) -> Column:
+    """Seeded place of a document in its shard."""
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.lit(seed))
+
+
+def _numbered(*keys: str) -> Column:
+    """Numbers rows that are equal in id and text."""
+    return F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+
+
 def n_words(text: Column) -> Column:
     words = plain(text)
     return F.when(words == "", 0).otherwise(F.length(words) - F.length(F.replace(words, F.lit(" "))) + 1).cast("long")
@@ -93,11 +103,11 @@ def quotas(rows: DataFrame, weight: str, seats: int, limit: str, order: str) ->
 
 def _draw(group: pd.DataFrame, block: int, seed: int) -> pd.DataFrame:
     """Words taken from every document of one shard: its quota of blocks, drawn by a seeded order."""
-    group = group.sort_values(["order", "doc_id", "size"], kind="stable").reset_index(drop=True)
+    group = group.sort_values(["order", "doc_id", "copy"], kind="stable").reset_index(drop=True)
     ends = group["size"].to_numpy(np.int64).cumsum()
     starts, length = ends - group["size"].to_numpy(np.int64), int(ends[-1])
     count = -(-length // block)
-    taken = np.zeros(len(group), np.int64)
+    taken, ranges = np.zeros(len(group), np.int64), [[] for _ in range(len(group))]
     if count:
         times, extra = divmod(int(group["quota"].iloc[0]), count)
         key = mix64(np.arange(count, dtype=np.uint64) + np.uint64((int(group["shard_key"].iloc[0]) ^ seed) & (2**64 - 1)))
@@ -109,21 +119,29 @@ def _draw(group: pd.DataFrame, block: int, seed: int) -> pd.DataFrame:
             whole = x // block
             return upto[whole] * block + again[whole] * (x - whole * block)
 
-        taken = times * (ends - starts) + drawn(ends) - drawn(starts)
-    return group.assign(taken=taken)[["doc_id", "size", "rank", "taken"]]
+        extra_words = drawn(ends) - drawn(starts)
+        taken = times * (ends - starts) + extra_words
+        for i in np.flatnonzero((extra_words > 0) & (extra_words < ends - starts)):
+            first, last = starts[i] // block, (ends[i] - 1) // block
+            edges = np.flatnonzero(np.diff(again[first: last + 1], prepend=0, append=0)) + first  # where drawn blocks begin and end
+            inside = np.clip(edges * block, starts[i], ends[i]) - starts[i]
+            ranges[i] = [tuple(map(int, x)) for x in inside.reshape(-1, 2)]
+    return group.assign(taken=taken, ranges=ranges)[["doc_id", "order", "copy", "size", "rank", "taken", "ranges"]]
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: int = 2,
         block: int = 32, shard_rows: int = 8192, seed: int = 7) -> DataFrame:
     """doc_id, size, source, source_size, target and taken (words, repeats counted) per document.
 
+    A document is taken whole ``taken // size`` times; ``ranges`` are the words of a
+    further, partial copy. ``order`` (a hash of id and text) and ``copy`` (numbering
+    repeated rows) say which row is meant.
     ``share``: size of the mix against all words; ``block``: words in a block;
     ``shard_rows``: documents in a shard, on average.
     """
     kind = docs.schema["doc_id"].dataType
-    order = F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.lit(seed))
-    sized = docs.select(F.col("doc_id").cast("string"), "source", n_words(F.col("text")).alias("size"), order.alias("order"))
-    sized = materialize(sized, "sizes")
+    sized = docs.select(F.col("doc_id").cast("string"), "source", n_words(F.col("text")).alias("size"), _order(seed).alias("order"))
+    sized = materialize(sized.withColumn("copy", _numbered("doc_id", "order")), "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     aims = materialize(targets(sources, weights, share, most), "targets")
     total = float(aims.agg(F.sum("target")).first()[0] or 0.0)
@@ -137,11 +155,30 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     parts = placed.groupBy("rank", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_size").alias("source_size"), F.first("blocks").alias("blocks"))
     parts = materialize(_shard_quotas(parts, block, most), "shards")
     drawn = placed.join(parts, ["rank", "shard"]).withColumn("shard_key", F.xxhash64("rank", "shard"))
-    schema = "doc_id string, size long, rank long, taken long"
-    picked = (drawn.select("doc_id", "size", "rank", "shard", "order", "quota", "shard_key")
+    schema = "doc_id string, order long, copy int, size long, rank long, taken long, ranges array<struct<start:int,stop:int>>"
+    picked = (drawn.select("doc_id", "size", "rank", "shard", "order", "copy", "quota", "shard_key")
               .groupBy("rank", "shard").applyInPandas(lambda g: _draw(g, block, seed), schema))
     return picked.join(aims.select("rank", "source", "source_size", "target"), "rank").select(
-        F.col("doc_id").cast(kind), "source", "size", "source_size", "target", "taken")
+        F.col("doc_id").cast(kind), "source", "size", "source_size", "target", "taken", "order", "copy", "ranges")
+
+
+def apply(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
+    """The mix itself: documents as often as they are taken, a last partial copy with its drawn words only."""
+    numbered = docs.withColumn("_order", _order(seed)).withColumn("_id", F.col("doc_id").cast("string"))
+    numbered = numbered.withColumn("_copy", _numbered("_id", "_order"))
+    plan = mix(docs, seed=seed, **options).where("taken > 0").select(
+        F.col("doc_id").cast("string").alias("i"), F.col("order").alias("o"), F.col("copy").alias("c"), "size", "taken", "ranges")
+    both = numbered.join(plan.withColumnsRenamed({"i": "__i", "o": "__o", "c": "__c", "size": "_size", "taken": "_taken", "ranges": "_ranges"}),
+                         F.col("_id").eqNullSafe(F.col("__i")) & (F.col("_order") == F.col("__o")) & (F.col("_copy") == F.col("__c")))
+    words = plain(F.col("text"))
+    part = F.array_join(F.flatten(F.transform("_ranges", lambda r: F.slice(F.split(words, " "), r["start"] + 1, r["stop"] - r["start"]))), " ")
+    whole = F.floor(F.col("_taken") / F.col("_size")).cast("int")
+    texts = F.concat(F.array_repeat("text", whole), F.when(F.size("_ranges") > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
+    out = both.withColumn("_text", F.explode(texts))
+    new = {"text": F.col("_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def _shard_quotas(parts: DataFrame, block: int, most: int, steps: int = 3) -> DataFrame:

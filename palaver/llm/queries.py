@@ -53,7 +53,7 @@ def op6_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix(table(spark, folder, "documents")).drop("source")
+    return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 @register

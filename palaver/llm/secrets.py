@@ -202,6 +202,8 @@ def mask(docs: DataFrame, mark: str = "<secret>", **options) -> DataFrame:
     key = F.struct(F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("m")).cast("string")
     df = docs.withColumn("_key", key).join(spans, "_key", "left")
 
+    columns = docs.columns
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = []
@@ -214,7 +216,7 @@ def mask(docs: DataFrame, mark: str = "<secret>", **options) -> DataFrame:
                             at = e
                     text = "".join(parts) + text[at:]
                 texts.append(text)
-            yield batch.drop(columns="_spans").assign(text=texts)[docs.columns]
+            yield batch.drop(columns="_spans").assign(text=texts)[columns]
 
     plain = df.where(F.col("_spans").isNull()).select(docs.columns)
     changed = df.where(F.col("_spans").isNotNull()).select(*docs.columns, "_spans").mapInPandas(cut, docs.schema)
