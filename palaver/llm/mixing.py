@@ -77,10 +77,12 @@ def quotas(rows: DataFrame, weight: str, seats: int, limit: str, order: str) ->
     def won(x: float) -> Column:
         return F.least(F.floor(F.col(weight) / F.lit(x) + 0.5).cast("long"), F.col(limit))
 
-    total = float(rows.agg(F.sum(weight)).first()[0] or 0.0)
+    sums = rows.agg(F.sum(weight), F.count("*")).first()
+    total, n = float(sums[0] or 0.0), sums[1]
     if total <= 0 or seats <= 0:
         return rows.withColumn("quota", F.lit(0).cast("long"))
-    low, high = total / (4.0 * seats), 4.0 * total / seats + total  # seats won: at least enough, at most enough
+    # Rounding moves each row by half a seat at most: enough seats are won at low, too few at high.
+    low, high = total / (seats + n / 2 + 1), total / (seats - n / 2 - 1) if seats > n / 2 + 1 else 2 * total + 1
     while True:
         steps = [x for x in np.geomspace(low, high, 34)[1:-1] if low < x < high]
         if not steps:

@@ -211,7 +211,8 @@ def groups(docs: DataFrame, percent: int = 85, size: int = 5, places: int = 256,
             yield out[same]
 
     wanted = members.select(F.col("doc_id").alias("d"), "key", "cluster", "tile", "tiles")
-    full = (docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("d"))).select("text", "key", "cluster", "tile", "tiles")
+    # A merge join at every size: a broadcast for small tables would only hide what the join moves.
+    full = (docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d"))).select("text", "key", "cluster", "tile", "tiles")
             .mapInPandas(sets, "key binary, cluster binary, tile int, tiles int, grams binary"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o")
     placed = full.select("key", "cluster", "grams", "tile", other).select(

@@ -5,9 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, neardup, packing, quality, secrets, topk, urls, warc, wrappers
+from . import language, mixing, neardup, packing, quality, secrets, sql, topk, urls, warc, wrappers
 from .common import table
-from .sql import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -43,7 +42,7 @@ def op4_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.judge(table(spark, folder, "documents"), "doc_id")
+    return quality.judge(table(spark, folder, "documents"), "doc_id").drop("class_distance", "common_distance")
 
 
 @register
@@ -69,3 +68,12 @@ def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def op10_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"))
+
+
+ORACLES = {
+    "op4_url_filters": sql.urls(RULES),
+    "op5_quality_rules": sql.quality(quality.WORDS),
+    "op6_minhash_near_dedup": sql.NEAR_DUPLICATES,
+    "op9_warc": sql.ARCHIVE,
+    "op10_exact_top_k": sql.TOP_K,
+}
