@@ -43,3 +43,15 @@ def ascii_lower(c: Column) -> Column:
 def slices_for(n_rows: int, rows_each: int) -> int:
     """Number of partitions that hold about ``rows_each`` rows."""
     return max(1, -(-n_rows // rows_each))
+
+
+def whole(df: DataFrame, **named: Column) -> DataFrame:
+    """Only the given columns and ``whole``, a struct of all the old ones, so that no name can clash."""
+    return df.select(*[c.alias(n) for n, c in named.items()], F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole"))
+
+
+def replaced(df: DataFrame, like: DataFrame, text: Column) -> DataFrame:
+    """The columns of ``like`` out of ``whole``, with another text and its length."""
+    new = {"text": text, "n_chars": F.length(text)}
+    fields = [new[f.name].cast(f.dataType).alias(f.name) if f.name in new else F.col(f"whole.`{f.name}`").alias(f.name) for f in like.schema.fields]
+    return df.select(*fields)

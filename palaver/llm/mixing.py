@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palaver.session import materialize
 
-from .common import mix64, plain, slices_for
+from .common import mix64, plain, replaced, slices_for, whole
 
 
 def _order(seed: int) -> Column:
@@ -166,21 +166,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
 
 def apply(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
     """The mix itself: documents as often as they are taken, a last partial copy with its drawn words only."""
-    numbered = docs.withColumn("_order", _order(seed)).withColumn("_id", F.col("doc_id").cast("string"))
-    numbered = numbered.withColumn("_copy", _numbered("_id", "_order"))
+    rows = whole(docs, id=F.col("doc_id").cast("string"), order=_order(seed), text=F.col("text")).withColumn("copy", _numbered("id", "order"))
     plan = mix(docs, seed=seed, **options).where("taken > 0").select(
         F.col("doc_id").cast("string").alias("i"), F.col("order").alias("o"), F.col("copy").alias("c"), "size", "taken", "ranges")
-    both = numbered.join(plan.withColumnsRenamed({"i": "__i", "o": "__o", "c": "__c", "size": "_size", "taken": "_taken", "ranges": "_ranges"}),
-                         F.col("_id").eqNullSafe(F.col("__i")) & (F.col("_order") == F.col("__o")) & (F.col("_copy") == F.col("__c")))
-    words = plain(F.col("text"))
-    part = F.array_join(F.flatten(F.transform("_ranges", lambda r: F.slice(F.split(words, " "), r["start"] + 1, r["stop"] - r["start"]))), " ")
-    whole = F.floor(F.col("_taken") / F.col("_size")).cast("int")
-    texts = F.concat(F.array_repeat("text", whole), F.when(F.size("_ranges") > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
-    out = both.withColumn("_text", F.explode(texts))
-    new = {"text": F.col("_text")}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
-    return out.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    both = rows.join(plan, F.col("id").eqNullSafe(F.col("i")) & (F.col("order") == F.col("o")) & (F.col("copy") == F.col("c")))
+    words = F.split(plain(F.col("text")), " ")
+    part = F.array_join(F.flatten(F.transform("ranges", lambda r: F.slice(words, r["start"] + 1, r["stop"] - r["start"]))), " ")
+    times = F.floor(F.col("taken") / F.col("size")).cast("int")
+    texts = F.concat(F.array_repeat("text", times), F.when(F.size("ranges") > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
+    return replaced(both.withColumn("mixed", F.explode(texts)), docs, F.col("mixed"))
 
 
 def _shard_quotas(parts: DataFrame, block: int, most: int, steps: int = 3) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from palaver.session import materialize
 
-from .common import mix64
+from .common import mix64, whole
 from .graph import UnionFind, components
 
 #: Shingles that compete at once.
@@ -235,6 +235,7 @@ def keep_one(docs: DataFrame, **limits) -> DataFrame:
 
     Texts without words stay. Rows equal in id and text count as one document.
     """
-    chosen = groups(docs, **limits).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.withColumn("_md5", F.md5(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_md5"]).drop("_md5")
+    chosen = groups(docs, **limits).where("kept").select(F.col("doc_id").alias("chosen")).distinct()
+    rows = whole(docs, doc_id=F.col("doc_id"), digest=F.md5(F.coalesce("text", F.lit(""))))
+    kept = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "digest"]).select("whole.*")

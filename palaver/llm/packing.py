@@ -182,9 +182,10 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[l
 
 def _pack(batches: Iterator[pd.DataFrame], capacity: int) -> Iterator[pd.DataFrame]:
     """Pieces of one block with bin, offset and the bin's fill."""
-    rows = pd.concat(list(batches), ignore_index=True) if batches else None
-    if rows is None or rows.empty:
+    held = [b for b in batches if len(b)]
+    if not held:
         return
+    rows = pd.concat(held, ignore_index=True)
     lengths = rows["length"].to_numpy(np.int64)
     bins = improve(best_fit(lengths, capacity), lengths, capacity)
     order = np.fromiter((i for b in bins for i in b), np.int64, len(rows))

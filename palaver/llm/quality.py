@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from palaver.session import materialize
 
-from .common import BLANKS, plain
+from .common import BLANKS, plain, whole
 
 # Frequent function words of four languages, in order of the languages.
 COMMON_WORDS = (
@@ -149,5 +149,5 @@ def keep_good(docs: DataFrame, **limits) -> DataFrame:
 
     The verdict travels with the whole row, so equal ids or repeated rows cannot mix.
     """
-    whole = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    return judge(whole, "_row", **limits).where("kept").select("_row.*")
+    rows = whole(docs, text=F.col("text"), lang=F.col("lang"))
+    return judge(rows, "whole", **limits).where("kept").select("whole.*")

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from palaver.session import materialize
 
+from .common import replaced, whole
+
 #: Base kinds in order; the battery's spans come after them.
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -197,29 +199,24 @@ def mask(docs: DataFrame, mark: str = "<secret>", **options) -> DataFrame:
 
     The spans are found again from the text's own scan, joined by id and text, so equal ids cannot mix.
     """
-    spans = scan(docs.select(F.struct(F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("m")).cast("string").alias("doc_id"), "text"), **options)
-    spans = spans.where(F.size("spans") > 0).select(F.col("doc_id").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_key"])
-    key = F.struct(F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("m")).cast("string")
-    df = docs.withColumn("_key", key).join(spans, "_key", "left")
-
-    columns = docs.columns
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = []
-            for text, found in zip(batch["text"], batch["_spans"]):
-                if found is not None and text is not None:
-                    parts, at = [], 0
-                    for s, e in sorted((int(x.split(":")[1]), int(x.split(":")[2])) for x in found):
-                        if e > at:
-                            parts += [text[at:max(s, at)], mark] if s >= at else []
-                            at = e
-                    text = "".join(parts) + text[at:]
-                texts.append(text)
-            yield batch.drop(columns="_spans").assign(text=texts)[columns]
-
-    plain = df.where(F.col("_spans").isNull()).select(docs.columns)
-    changed = df.where(F.col("_spans").isNotNull()).select(*docs.columns, "_spans").mapInPandas(cut, docs.schema)
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return plain.unionByName(changed)
+    key = F.struct(F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("md5")).cast("string")
+    found = scan(docs.select(key.alias("doc_id"), "text"), **options).where(F.size("spans") > 0)
+    found = found.select(F.col("doc_id").alias("key"), "spans").dropDuplicates(["key"])
+    rows = whole(docs, key=key, text=F.col("text")).join(found, "key", "left")
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([_cut(t, s, mark) for t, s in zip(texts, spans)])
+
+    clean = rows.where(F.col("spans").isNull()).select("whole.*")
+    masked = rows.where(F.col("spans").isNotNull()).withColumn("masked", cut("text", "spans"))
+    return clean.unionByName(replaced(masked, docs, F.col("masked")))
+
+
+def _cut(text: str, spans: list[str], mark: str) -> str:
+    parts, at = [], 0
+    for start, end in sorted((int(x.split(":")[1]), int(x.split(":")[2])) for x in spans):
+        if start >= at:
+            parts += [text[at:start], mark]
+        at = max(at, end)
+    return "".join(parts) + text[at:]
