@@ -51,7 +51,7 @@ TABLES.update({
     "sends20": "SELECT a AS id, b AS other, w FROM sedges20 UNION ALL SELECT b, a, w FROM sedges20",
     "doc_words": f"""
         SELECT DISTINCT vec_id AS id, word FROM (
-            SELECT vec_id, unnest(regexp_extract_all({FOLDED}, '[a-z'']+')) AS word FROM documents JOIN embeddings ON vec_id = doc_id)
+            SELECT doc_id % (SELECT count(*) FROM embeddings) AS vec_id, unnest(regexp_extract_all({FOLDED}, '[a-z'']+')) AS word FROM documents)
         WHERE length(word) > 2 AND word NOT IN ({STOP_LIST})""",
     "sweep": "SELECT unnest([10, 15, 20, 30, 50]) AS k",
     "sweep_edges": """
@@ -79,8 +79,9 @@ def edges(a: Archive):
 
 
 def doc_words(a: Archive):
-    words = a.given("documents").join(a.given("embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id").select(
-        F.col("doc_id").alias("id"), F.explode(F.array_distinct(tx.found_words(F.col("text")))).alias("token"))
+    size = a.given("embeddings").count()
+    words = a.given("documents").select(
+        F.pmod("doc_id", F.lit(size)).alias("id"), F.explode(F.array_distinct(tx.found_words(F.col("text")))).alias("token"))
     return a.keep("doc_words", lambda: words.where((F.char_length("token") > 2) & tx.is_content_word(F.col("token"))).distinct())
 
 
@@ -431,7 +432,7 @@ def _(a: Archive):
 
 @register("g24_small_niches")
 def _(a: Archive):
-    described = g.describe(s_docs(a), s_vectors(a), s_texts(a), s_phrases(a), s_edges(a), density_labels(a), 1000, 8, 5)
+    described = g.describe(s_docs(a), s_vectors(a), s_texts(a), s_phrases(a), s_edges(a), density_labels(a), None, 8, 5, 60)
     return shape(g.niches(described), cluster_id="n", size="n", conductance="d", phrases="s", top_contact="s", top_contact_share="d", example="s")
 
 
@@ -479,7 +480,7 @@ def _(a: Archive):
     parts = {k: a.keep(f"sedges_{k}", lambda k=k: g.knn_edges(s_knn(a), 20, True, k)) for k in kinds}
     graph_edges = stacked([parts[k].withColumn("graph", F.lit(k)) for k in kinds])
     graph_nodes = s_vectors(a).select("id", F.explode(F.array(*[F.lit(k) for k in kinds])).alias("graph"))
-    found = a.keep("weighting_communities", lambda: communities(graph_nodes, graph_edges, (1.0,), rounds=3, levels=2))
+    found = a.keep("weighting_communities", lambda: communities(graph_nodes, graph_edges, (1.0,)))
     rows = a.keep("weightings", lambda: stacked([
         quality_row(k, parts[k], found.where(F.col("graph") == k).select("id", "cluster_id"), s_vectors(a)) for k in kinds]))
     best = rows.agg(F.max_by("name", F.col("modularity") - F.col("mean_conductance"))).scalar()
@@ -508,13 +509,13 @@ def _(a: Archive):
     parts, vectors = representation_edges(a), representations(a)
     graph_edges = stacked([e.withColumn("graph", F.lit(k)) for k, e in parts.items()])
     graph_nodes = stacked([rows.select("id", F.lit(k).alias("graph")) for k, rows in vectors.items()])
-    found = a.keep("representation_communities", lambda: communities(graph_nodes, graph_edges, (1.0,), rounds=3, levels=2))
+    found = a.keep("representation_communities", lambda: communities(graph_nodes, graph_edges, (1.0,)))
     giants = a.keep("representation_stats", lambda: g.graph_stats(graph_nodes, graph_edges, ["graph"]))
     words = s_tokens(a)
     rows = a.keep("representations", lambda: stacked([
         materialize(quality_row(k, parts[k], found.where(F.col("graph") == k).select("id", "cluster_id"), vectors[k]).withColumns({
-            "jaccard": g.edge_jaccard(g.edge_sample(parts[k]), words).scalar(),
-            "same_chat": g.same_chat_fraction(g.edge_sample(parts[k]), s_docs(a)).scalar()}), "representation") for k in parts]))
+            "jaccard": g.edge_jaccard(parts[k], words).scalar(),
+            "same_chat": g.same_chat_fraction(parts[k], s_docs(a)).scalar()}), "representation") for k in parts]))
     rows = rows.join(giants.select(F.col("graph").alias("name"), "giant_frac"), "name")
     best = rows.agg(F.max_by("name", F.col("jaccard") - 0.3 * F.col("same_chat"))).scalar()
     return shape(rows.withColumn("best", F.col("name") == best), name="s", jaccard="d", same_chat="d", giant_frac="d", clusters="n",

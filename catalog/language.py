@@ -72,9 +72,9 @@ def _(a: Archive):
     return texts(a).select("text", "total", "mine")
 
 
-@register("m2_ngram_counts", f"WITH {LANG_GRAMS} SELECT lang, phrase, n FROM grams WHERE n >= 3")
+@register("m2_ngram_counts", f"WITH {LANG_GRAMS} SELECT lang, phrase, n FROM grams")
 def _(a: Archive):
-    return language_counts(a).withColumnRenamed("count", "n").where("n >= 3")
+    return language_counts(a).withColumnRenamed("count", "n")
 
 
 @register("m3_language_log_odds", f"""
@@ -158,7 +158,7 @@ def _(a: Archive):
 
 @register("m9_silhouette_by_k")
 def _(a: Archive):
-    _rows, _centres, k, scores = matrix.pick_kmeans(a.given("embeddings"), "embedding", range(6, 13, 2))
+    _rows, _centres, k, scores = matrix.pick_kmeans(a.given("embeddings"), "embedding", range(6, 13))
     return a.spark.createDataFrame([(kk, round(s, 6), kk == k) for kk, s in scores], "k int, silhouette double, best boolean")
 
 
@@ -228,12 +228,12 @@ def _(a: Archive):
 
 
 @register("w11_previous_qualifying_period", """
-    SELECT day, n, coalesce(lag(day) OVER (ORDER BY day), '') AS previous
-    FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1) WHERE n >= 65""")
+    SELECT event_type, day, n, coalesce(lag(day) OVER (PARTITION BY event_type ORDER BY day), '') AS previous
+    FROM (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1, 2) WHERE n >= 65""")
 def _(a: Archive):
-    daily = a.given("events").where("event_type = 'view'").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    daily = a.given("events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     busy = daily.where("n >= 65")
-    return busy.withColumn("previous", F.coalesce(F.lag("day").over(Window.partitionBy(F.lit(0)).orderBy("day")), F.lit("")))
+    return busy.withColumn("previous", F.coalesce(F.lag("day").over(Window.partitionBy("event_type").orderBy("day")), F.lit("")))
 
 
 @register("m16_person_vectors", f"""

@@ -502,10 +502,10 @@ def _(a: Archive):
     WITH w AS (SELECT doc_id, regexp_extract_all({FOLDED}, '[a-z'']+') AS w FROM documents),
     g AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM w
           UNION ALL SELECT unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w)
-    SELECT gram, count(*) AS n FROM g GROUP BY 1 HAVING count(*) >= 3""")
+    SELECT gram, count(*) AS n FROM g GROUP BY 1""")
 def _(a: Archive):
     grams = a.given("documents").select(F.explode(tx.ngrams(tx.found_words(F.col("text")))).alias("gram"))
-    return grams.groupBy("gram").agg(n()).where("n >= 3")
+    return grams.groupBy("gram").agg(n())
 
 
 @register("x10_group_name_fallback", "SELECT chat_id, coalesce(nullif(name, ''), 'Group ' || chat_id) AS name FROM chats")

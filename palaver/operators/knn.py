@@ -40,7 +40,8 @@ def nearest_neighbours(vectors: DataFrame, k: int = 50, id_col: str = "id", vect
     n = points.count()
     if n == 0:
         return members.selectExpr("id src", "id dst", "1 rank", "0D dist").limit(0)
-    chosen = points.orderBy(*seeded_order(seed, "rep")).limit(pivots or int(min(max(1, n ** 0.5), MAX_PIVOTS))).collect()
+    # Cells of a few times k rows: a row's own cell then bounds its k-th distance.
+    chosen = points.orderBy(*seeded_order(seed, "rep")).limit(pivots or int(min(max(1, n // (4 * (k + 1))), MAX_PIVOTS))).collect()
     centre = np.array([r["u"] for r in chosen])
 
     @F.pandas_udf("cell int, gap double")
@@ -55,6 +56,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 50, id_col: str = "id", vect
     sizes = {r["cell"]: (r["n"], r["radius"]) for r in placed.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"), F.max("gap").alias("radius")).collect()}  # one row per pivot
     radius = np.array([sizes.get(c, (0, -np.inf))[1] for c in range(len(centre))])
+    counts = np.array([sizes.get(c, (0, 0.0))[0] for c in range(len(centre))])
     parts = F.element_at(F.array(*[F.lit(int(-(-sizes.get(c, (1, 0))[0] // block))) for c in range(len(centre))]), F.col("cell") + 1)
     blocks = placed.withColumn("block", F.pmod(F.xxhash64("rep"), parts)).groupBy("cell", "block").agg(
         F.collect_list("rep").alias("reps"), F.collect_list("u").alias("us"))
@@ -69,8 +71,14 @@ def nearest_neighbours(vectors: DataFrame, k: int = 50, id_col: str = "id", vect
             for cell, reps_, us in zip(frame["cell"], frame["reps"], frame["us"]):
                 x = np.stack(us)
                 own = np.sort(_euclid(x, x), axis=1)
-                bound = own[:, k] if len(x) > k else np.full(len(x), np.inf)
                 to_pivot = _euclid(x, centre)
+                # All rows of a cell lie within pivot distance + radius: the nearest cells with k + 1 rows give a finite bound.
+                reach = np.where(counts > 0, to_pivot + radius[None, :], np.inf)
+                order = np.argsort(reach, axis=1, kind="stable")
+                enough = (np.cumsum(counts[order], axis=1) > k).argmax(1)
+                bound = np.take_along_axis(reach, order, 1)[np.arange(len(x)), enough] if counts.sum() > k else np.full(len(x), np.inf)
+                if len(x) > k:
+                    bound = np.minimum(bound, own[:, k])
                 low = to_pivot - radius[None, :]
                 apart = between[cell][None, :]
                 with np.errstate(divide="ignore", invalid="ignore"):

@@ -60,8 +60,9 @@ def debias(df: DataFrame, vector: str, components: int, name: str = "debiased")
     return df.withColumn(name, _on_batches(clean)(as_doubles(F.col(vector))))
 
 
-def centred(df: DataFrame, vector: str, name: str = "centred") -> DataFrame:
-    mean = mean_vector(df, vector)
+def centred(df: DataFrame, vector: str, name: str = "centred", around: DataFrame | None = None) -> DataFrame:
+    """Unit vectors of the rows less the mean of ``around`` (of all rows by default)."""
+    mean = mean_vector(df if around is None else around, vector)
 
     def shift(x: np.ndarray) -> np.ndarray:
         c = x - mean

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialize
+
 SLICE = "_slice"
 
 
@@ -59,6 +61,21 @@ def with_running_sum(df: DataFrame, keys: list[str], order: list[str], value: Co
     )
 
 
+def with_rank(df: DataFrame, keys: list[str], order: list[Column], name: str, rows_each: int = 1 << 16) -> DataFrame:
+    """Adds the row number (from 1) within ``keys`` by ``order``, which must be unique, without one task per group.
+
+    Rows are range-partitioned and written; a row's number is its place in its range
+    after the counts of the group's earlier ranges.
+    """
+    parts = max(1, -(-df.count() // rows_each))
+    spread = materialize(df.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = spread.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n")).select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order)
+    return spread.withColumn("_place", F.row_number().over(inside)).join(sizes, [*keys, "_part"]).withColumn(
+        name, F.col("_place") + F.col("_before")).drop("_part", "_place", "_before")
+
+
 def with_dense_id(df: DataFrame, order: str, name: str, width: int = 1 << 16) -> DataFrame:
     """Adds consecutive ids from 1 in the order of a unique long column, without one global sort task."""
     sliced = df.withColumn(SLICE, F.floor(F.col(order) / width)).withColumn("_all", F.lit(0))

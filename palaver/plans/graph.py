@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import vectors as v
 from ..operators import matrix
 from ..operators.components import connected_components
+from ..operators.ordered import with_rank
 from ..operators.percentiles import exact_percentiles
 from ..operators.topk import seeded_order, top_per_group
 from .phrases import log_odds
@@ -85,18 +86,19 @@ def edge_jaccard(edges: DataFrame, tokens: DataFrame, keys: list[str] | None = N
     The shared words of an edge are counted by joins on (id, token): no word set is gathered.
     """
     keys = keys or []
-    pairs = edges.select(*keys, "a", "b")
+    pairs = edges.select("a", "b").distinct()  # an edge of several graphs is counted once
     sizes = tokens.groupBy("id").agg(F.count(F.lit(1)).alias("size"))
     shared = (
         pairs.join(tokens.select(F.col("id").alias("a"), "token"), "a")
         .join(tokens.select(F.col("id").alias("b"), "token"), ["b", "token"])
-        .groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("both"))
+        .groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"))
     )
     size_of = [sizes.select(F.col("id").alias(end), F.col("size").alias(f"n{end}")) for end in ("a", "b")]
-    scored = pairs.join(shared, [*keys, "a", "b"], "left").join(size_of[0], "a", "left").join(size_of[1], "b", "left")
+    scored = pairs.join(shared, ["a", "b"], "left").join(size_of[0], "a", "left").join(size_of[1], "b", "left")
     both = F.coalesce("both", F.lit(0))
     union = F.coalesce("na", F.lit(0)) + F.coalesce("nb", F.lit(0)) - both
-    return scored.where(union > 0).groupBy(*keys).agg(F.avg(both / union).alias("jaccard"))
+    overlap = scored.where(union > 0).select("a", "b", (both / union).alias("overlap"))
+    return edges.select(*keys, "a", "b").join(overlap, ["a", "b"]).groupBy(*keys).agg(F.avg("overlap").alias("jaccard"))
 
 
 def same_chat_fraction(edges: DataFrame, docs: DataFrame) -> DataFrame:
@@ -220,8 +222,8 @@ def density_clusters(nodes: DataFrame, knn: DataFrame, min_samples: int = 5, min
     dense = reach.withColumn("cut", cut).where(F.col("reach") <= F.col("cut"))
     labels = connected_components(nodes, dense)
     sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    numbered = sizes.where(F.col("size") >= min_size).withColumn(
-        "cluster_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("size"), "component")) - 1)
+    numbered = with_rank(sizes.where(F.col("size") >= min_size).withColumn("all", F.lit(0)), ["all"], [F.desc("size"), F.asc("component")], "place")
+    numbered = numbered.select("component", (F.col("place") - 1).alias("cluster_id"))
     return labels.join(numbered, "component", "left").select("id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))
 
 
@@ -276,9 +278,13 @@ def parents(fine: DataFrame, coarse: DataFrame) -> DataFrame:
 
 
 def describe(docs: DataFrame, vectors: DataFrame, texts: DataFrame, phrases: DataFrame, edges: DataFrame,
-             labels: DataFrame, max_clusters: int = 14, min_size: int = 5, phrase_limit: int = 6) -> DataFrame:
-    """The largest clusters with conductance, phrases, main contact and a representative session."""
-    best = conductance(edges, labels).orderBy(F.desc("size"), "cluster_id").limit(max_clusters).where(F.col("size") >= min_size)
+             labels: DataFrame, max_clusters: int | None = 14, min_size: int = 5, phrase_limit: int = 6, max_size: int | None = None) -> DataFrame:
+    """Clusters with conductance, phrases, main contact and a representative session: the largest ones, or all within the sizes."""
+    best = conductance(edges, labels).where(F.col("size") >= min_size)
+    if max_size is not None:
+        best = best.where(F.col("size") <= max_size)
+    if max_clusters is not None:
+        best = best.orderBy(F.desc("size"), "cluster_id").limit(max_clusters)
     chosen = labels.join(best.select("cluster_id"), "cluster_id", "left_semi")
     words = cluster_phrases(phrases, chosen, limit=phrase_limit).groupBy("cluster_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "phrase"))), lambda x: x["phrase"]), ", ").alias("phrases"))

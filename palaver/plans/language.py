@@ -161,8 +161,9 @@ def cluster_evidence(said: DataFrame, texts: DataFrame, clusters: DataFrame, max
 
 
 def people_map(people: DataFrame) -> DataFrame:
-    """Three standardised coordinates per person and period."""
-    return matrix.standardized_coordinates(matrix.centred(people, "centroid"), "centred", ["x", "y", "z"])
+    """Three standardised coordinates per person and period, around the mean of the whole-archive rows."""
+    around = people.where("period = 'all'")
+    return matrix.standardized_coordinates(matrix.centred(people, "centroid", around=around), "centred", ["x", "y", "z"])
 
 
 def search(vectors: DataFrame, query: DataFrame, k: int = 12) -> DataFrame:
