@@ -8,7 +8,7 @@ import time
 
 import duckdb
 
-from palaver.session import build_session
+from palaver.session import SINGLE_NODE, build_session
 
 
 def canonical(value):
@@ -32,7 +32,7 @@ def main(argv: list[str]) -> int:
     import catalog
 
     folder = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
-    spark = build_session("compare", "local[8]", 8)
+    spark = build_session("compare", "local[8]", 8, SINGLE_NODE)
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     for path in glob.glob(f"{folder}/*.parquet"):

@@ -118,7 +118,11 @@ def dimensions(raw: Tables) -> Tables:
 
 
 def derived_messages(raw: Tables, dims: Tables, zone: str = "UTC") -> DataFrame:
-    """Message facts: text, counts, local time, author, flags, sessions and response times."""
+    """Message facts: text, counts, local time, author, flags, sessions and response times.
+
+    Texts stay out of all joins and windows: they are read and counted apart and meet the
+    finished narrow rows in one join on the message.
+    """
     people = counterparts(dims["chats"], dims["chat_members"])
     sender = dims["handles"].select("handle_id", F.col("person_id").alias("sender"))
     attached = attachment_scan(raw).select("msg_id").distinct().withColumn("attached", F.lit(True))
@@ -129,10 +133,11 @@ def derived_messages(raw: Tables, dims: Tables, zone: str = "UTC") -> DataFrame:
 
     rows = (
         real_messages(message_scan(raw))
+        .drop("text", "body")
         .withColumn("ts_utc", source_time(F.col("date")))
         .where(F.col("ts_utc").isNotNull())
         .withColumns({
-            "text": text, "is_from_me": flag("is_from_me"), "is_audio": flag("is_audio_message"),
+            "is_from_me": flag("is_from_me"), "is_audio": flag("is_audio_message"),
             "date_read": source_time(F.col("date_read")), "date_delivered": source_time(F.col("date_delivered"))})
         .join(people, "chat_id")
         .join(sender, "handle_id", "left")
@@ -140,10 +145,10 @@ def derived_messages(raw: Tables, dims: Tables, zone: str = "UTC") -> DataFrame:
         .withColumns({
             "person_id": F.when(F.col("is_from_me"), F.col("counterpart")).otherwise(F.col("sender")),
             "ts_local": local_time(F.col("ts_utc"), zone),
-            "has_attachment": flag("cache_has_attachments") | F.coalesce("attached", F.lit(False)),
-            **tx.text_stats(F.col("text"))})
+            "has_attachment": flag("cache_has_attachments") | F.coalesce("attached", F.lit(False))})
     )
-    return with_sessions(rows)
+    said = real_messages(raw["message"]).select("msg_id", text.alias("text")).withColumns(tx.text_stats(F.col("text")))
+    return with_sessions(rows).join(said, "msg_id")
 
 
 def derived_tapbacks(raw: Tables, dims: Tables) -> DataFrame:
@@ -153,14 +158,6 @@ def derived_tapbacks(raw: Tables, dims: Tables) -> DataFrame:
         "kind", source_time(F.col("date")).alias("ts_utc"))
 
 
-def build_star(raw: Tables, zone: str = "UTC") -> Tables:
-    """The eight star tables as one lazy plan."""
-    dims = dimensions(raw)
-    messages = derived_messages(raw, dims, zone)
-    return {**dims, "messages": messages, "tapbacks": derived_tapbacks(raw, dims),
-            "attachments": attachment_scan(raw), "emoji_uses": emoji_uses(messages)}
-
-
 def publish_star(raw: Tables, folder: str, zone: str = "UTC") -> Tables:
     """Full rebuild of the star schema in ``folder``; later tables read the written earlier ones."""
     spark = raw["message"].sparkSession

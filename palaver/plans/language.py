@@ -25,9 +25,9 @@ def distinct_texts(messages: DataFrame) -> DataFrame:
 def message_texts(star: Tables, texts: DataFrame) -> DataFrame:
     """Every spoken message with the id of its text and what the vector plans group by."""
     named = star["persons"].where(~F.col("display_name").like("urn:%")).select("person_id", "display_name")
-    rows = star["messages"].where(F.char_length(F.trim("text")) > 0).withColumn("text", F.trim("text"))
+    rows = star["messages"].where(F.char_length(F.trim("text")) > 0).withColumn("said", F.md5(F.trim("text")))
     return (
-        rows.join(texts.select("text", "text_id"), "text")
+        rows.join(texts.select(F.md5("text").alias("said"), "text_id"), "said")
         .join(star["chats"].select("chat_id", "is_group"), "chat_id").join(named, "person_id", "left")
         .select("msg_id", "text_id", "chat_id", "session_id", "ts_utc", "is_from_me", "is_group",
                 F.when(F.col("display_name").isNotNull(), F.col("person_id")).alias("named_id"),

@@ -8,10 +8,17 @@ from ..operators.topk import top_per_group
 from ..sources.raw import Tables
 
 
-def phrase_counts(texts: DataFrame, keys: list[str], text: str = "text", sizes: tuple[int, ...] = (2, 3)) -> DataFrame:
-    """n-grams per key, never across texts. Equal texts of a key are tokenised once."""
-    distinct = texts.groupBy(*keys, F.col(text).alias("_t")).agg(F.count(F.lit(1)).alias("_k"))
-    grams = distinct.select(*keys, "_k", F.explode(tx.ngrams(tx.found_words(F.col("_t")), sizes)).alias("phrase"))
+def phrase_counts(texts: DataFrame, keys: list[str], text: str = "text", sizes: tuple[int, ...] = (2, 3),
+                  repeated: bool = False) -> DataFrame:
+    """n-grams per key, never across texts.
+
+    Counted where the text is read, so no text is shuffled. Where most texts are
+    ``repeated``, equal ones are gathered first, by hash, and tokenised once.
+    """
+    rows = texts.select(*keys, F.col(text).alias("_t"), F.lit(1).cast("long").alias("_k"))
+    if repeated:
+        rows = rows.groupBy(*keys, F.xxhash64("_t").alias("_h"), F.md5("_t").alias("_m")).agg(F.first("_t").alias("_t"), F.sum("_k").alias("_k"))
+    grams = rows.select(*keys, "_k", F.explode(tx.ngrams(tx.found_words(F.col("_t")), sizes)).alias("phrase"))
     return grams.groupBy(*keys, "phrase").agg(F.sum("_k").alias("count"))
 
 
@@ -56,7 +63,7 @@ def scoped_counts(star: Tables) -> DataFrame:
         .join(star["chats"].select("chat_id", "is_group"), "chat_id").join(named, "person_id", "left")
         .withColumn("pair", F.when(~F.col("is_group") & F.col("named"), F.col("person_id")).otherwise(0))
     )
-    return phrase_counts(rows, ["is_from_me", "year", "pair"])
+    return phrase_counts(rows, ["is_from_me", "year", "pair"], repeated=True)
 
 
 def signature_phrases(counts: DataFrame, star: Tables, top_pairs: int = 20) -> DataFrame:

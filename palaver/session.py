@@ -7,8 +7,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: For small tables on one machine: small partitions keep all cores busy with text work.
+SINGLE_NODE = {
+    "spark.driver.memory": "12g", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
+    "spark.sql.files.maxPartitionBytes": "8m", "spark.sql.files.openCostInBytes": "1m",
+}
+
+
 def build_session(app_name: str = "palaver", master: str | None = None,
-                  shuffle_partitions: int | None = None) -> SparkSession:
+                  shuffle_partitions: int | None = None, settings: dict[str, str] | None = None) -> SparkSession:
+    """A session with adaptive execution; sizes of partitions and memory are the caller's ``settings``."""
     builder = (
         SparkSession.builder.appName(app_name)
         .config("spark.sql.session.timeZone", "UTC")
@@ -21,12 +29,8 @@ def build_session(app_name: str = "palaver", master: str | None = None,
     )
     if master:
         builder = builder.master(master)
-        if master.startswith("local"):
-            # Small tables on one machine: small partitions keep all cores busy with text work.
-            builder = (
-                builder.config("spark.driver.memory", "12g")
-                .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "8m")
-                .config("spark.sql.files.maxPartitionBytes", "8m").config("spark.sql.files.openCostInBytes", "1m"))
+    if settings:
+        builder = builder.config(map=settings)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()

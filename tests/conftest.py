@@ -1,14 +1,14 @@
 import pytest
 
 from palaver.plans import ingest
-from palaver.session import build_session
+from palaver.session import SINGLE_NODE, build_session
 from palaver.sources.raw import conform
 from palaver.sources.schemas import RAW
 
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", "local[4]", 4)
+    session = build_session("tests", "local[4]", 4, SINGLE_NODE)
     session.sparkContext.setLogLevel("ERROR")
     yield session
 
