@@ -132,7 +132,8 @@ def judge(docs: DataFrame, *carry: str, max_class: float = 0.3, max_common: floa
     ``min_words``: below these the distance is not applied.
     """
     measured = materialize(measure(docs, *carry), "quality")
-    ref = profiles(measured).withColumnRenamed("lang", "ref_lang")
+    # Written, so that Spark knows its size (a row per language) and need not move the documents to it.
+    ref = materialize(profiles(measured).withColumnRenamed("lang", "ref_lang"), "profiles")
     df = measured.join(ref, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
     df = df.withColumn("class_distance", js_distance(F.col("classes"), F.col("ref_classes")))
     df = df.withColumn("common_distance", js_distance(F.col("common"), F.col("ref_common")))
