@@ -226,7 +226,7 @@ def _(a: Archive):
     return connected_components(nodes(a).select("id"), edges(a))
 
 
-@register("g5_edge_sample")
+@register("g5_edge_sample", f"SELECT a, b, {r('w', 'w')} FROM edges20 ORDER BY md5('0,' || a || ',' || b), a, b LIMIT 2000")
 def _(a: Archive):
     return shape(g.edge_sample(edges(a), 2000, 0), a="n", b="n", w="d")
 

@@ -428,7 +428,7 @@ def _(a: Archive):
     return shape(counts.join(best, "chat_id", "left_semi"), chat_id="n", is_from_me="b", n="n")
 
 
-@register("l4_seeded_sample")
+@register("l4_seeded_sample", "SELECT doc_id, lang FROM documents ORDER BY md5('7,' || doc_id), doc_id LIMIT 25")
 def _(a: Archive):
     return seeded_sample(a.given("documents").select("doc_id", "lang"), 25, 7, "doc_id")
 

@@ -11,8 +11,8 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, r
 
 
 def seeded_order(seed: int, *columns: str) -> list[Column]:
-    """A repeatable shuffle of rows, ties broken by the columns themselves."""
-    return [F.xxhash64(F.lit(seed), *[F.col(c) for c in columns]), *[F.col(c) for c in columns]]
+    """A repeatable shuffle of rows by the md5 of seed and columns, the same in any engine; ties broken by the columns themselves."""
+    return [F.md5(F.concat_ws(",", F.lit(seed), *[F.col(c) for c in columns])), *[F.col(c) for c in columns]]
 
 
 def seeded_sample(df: DataFrame, k: int, seed: int, *columns: str) -> DataFrame:
