@@ -5,8 +5,9 @@ first piece may be shorter. Full pieces are sequences of their own. The other pi
 dealt evenly to blocks; a block is packed by best fit (longest first), then a local
 search moves, exchanges one for one or two for one between its underfull bins, taking
 only steps that raise the sum of squared fills, until no such step is left; bins that
-become empty go. The pieces of still underfull bins of all blocks are packed once more
-in fewer blocks.
+become empty go. The pieces of still underfull bins of all blocks meet once more in
+fewer blocks; there the better of the bins they came in, searched again, and a fresh
+packing counts.
 
 Defined cases: a null or empty text is the closing token alone; repeated rows are
 separate documents; an empty table gives no rows; other columns are not looked at.
@@ -181,13 +182,16 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[l
 
 
 def _pack(batches: Iterator[pd.DataFrame], capacity: int) -> Iterator[pd.DataFrame]:
-    """Pieces of one block with bin, offset and the bin's fill."""
+    """Pieces of one block with bin, offset and the bin's fill; bins that come with the pieces stay if packing anew takes more."""
     held = [b for b in batches if len(b)]
     if not held:
         return
     rows = pd.concat(held, ignore_index=True)
     lengths = rows["length"].to_numpy(np.int64)
     bins = improve(best_fit(lengths, capacity), lengths, capacity)
+    if rows["sequence_id"].notna().all():
+        given = improve([list(x) for x in rows.groupby("sequence_id").indices.values()], lengths, capacity)
+        bins = given if len(given) < len(bins) else bins
     order = np.fromiter((i for b in bins for i in b), np.int64, len(rows))
     sizes = np.array([len(b) for b in bins])
     number = np.repeat(np.arange(len(bins)), sizes)
@@ -195,7 +199,7 @@ def _pack(batches: Iterator[pd.DataFrame], capacity: int) -> Iterator[pd.DataFra
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     base = np.repeat((ends - lengths[order])[first], sizes)
     fill = np.repeat(np.add.reduceat(lengths[order], first), sizes)
-    yield rows.iloc[order].assign(bin=number, offset=ends - lengths[order] - base, fill=fill)
+    yield rows.iloc[order].drop(columns="sequence_id").assign(bin=number, offset=ends - lengths[order] - base, fill=fill)
 
 
 def pack(docs: DataFrame, capacity: int = 1024, closing: int = 2, tokenizer: str = "byte_bpe_50k", block_rows: int = 20_000) -> DataFrame:
@@ -207,12 +211,13 @@ def pack(docs: DataFrame, capacity: int = 1024, closing: int = 2, tokenizer: str
 
     def round_of(rows: DataFrame, number: int) -> DataFrame:
         blocks = slices_for(rows.count(), block_rows)
-        packed = rows.repartition(blocks).mapInPandas(lambda it: _pack(it, capacity), schema)
+        dealt = rows.repartition(blocks, "sequence_id") if number > 1 else rows.repartition(blocks)
+        packed = dealt.mapInPandas(lambda it: _pack(it, capacity), schema)
         packed = packed.withColumn("sequence_id", (F.spark_partition_id().cast("long") * (1 << 32) + F.col("bin")) * 4 + number)
         return materialize(packed, "packed")
 
     full = cut.where(F.col("length") == capacity).select(*columns, (F.monotonically_increasing_id() * 4).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    one = round_of(cut.where(F.col("length") < capacity), 1)
-    two = round_of(one.where(F.col("fill") < capacity).select(*columns), 2)
+    one = round_of(cut.where(F.col("length") < capacity).withColumn("sequence_id", F.lit(None).cast("long")), 1)
+    two = round_of(one.where(F.col("fill") < capacity).select(*columns, "sequence_id"), 2)
     result = full.unionByName(one.where(F.col("fill") == capacity).select(full.columns)).unionByName(two.select(full.columns))
     return result.withColumn("doc_id", F.col("doc_id").cast(kind))

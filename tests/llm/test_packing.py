@@ -54,3 +54,10 @@ def test_search_keeps_items_and_never_adds_bins(lengths):
 def test_swaps_empty_a_bin():
     lengths = np.array([6, 6, 4, 4, 5, 5])  # capacity 10: 6+4, 6+4, 5+5
     assert len(packing.improve([[0], [1, 2], [3, 4], [5]], lengths, 10)) == 3
+
+
+def test_second_round_keeps_bins_that_are_better(spark):
+    rows = [(i, prose(random.Random(i).randrange(1, 400), i), "en", "s") for i in range(200)]
+    few = packing.pack(docs(spark, rows), block_rows=1000).select("sequence_id").distinct().count()
+    many = packing.pack(docs(spark, rows), block_rows=20).select("sequence_id").distinct().count()
+    assert few <= many <= few + 12
