@@ -179,7 +179,7 @@ def _verify(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFr
         yield close(held)
 
 
-def groups(docs: DataFrame, percent: int = 85, size: int = 5, places: int = 256, bands: int = 32, tile: int = 400_000) -> DataFrame:
+def groups(docs: DataFrame, percent: int = 85, size: int = 5, places: int = 256, bands: int = 32, tile: int = 120_000) -> DataFrame:
     """doc_id, key, n_shingles, component_id, kept of every document.
 
     ``percent``: least intersection in percent of the union; ``places`` and ``bands``:
