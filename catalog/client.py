@@ -44,6 +44,26 @@ def _(a: Archive):
     return shape(c.rerank(leaderboard(a), "median_response_seconds_them", AS_OF, hide_quiet=True), **LEADER_COLUMNS)
 
 
+METRICS = [c for c in LEADER_COLUMNS if c not in ("person_id", "display_name", "first_ts", "last_ts")]
+
+
+@register("c4_ranks_of_the_busiest", f"WITH b AS MATERIALIZED (SELECT * FROM ({leader_sql()}) l ORDER BY total DESC, person_id LIMIT 3) " + " UNION ALL ".join(
+    f"SELECT '{m}' AS metric, row_number() OVER (ORDER BY {m} DESC NULLS LAST, person_id) AS rank, person_id FROM b" for m in METRICS))
+def _(a: Archive):
+    board, out = a.keep("shaped_leaderboard", lambda: shape(leaderboard(a), **LEADER_COLUMNS)), None
+    for m in METRICS:
+        rows = c.rerank(board, m, AS_OF, top=3).select(F.lit(m).alias("metric"), F.col("rank").cast("bigint").alias("rank"), "person_id")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@register("c4_ranks_without_quiet_ones", f"""
+    SELECT person_id, row_number() OVER (ORDER BY sent DESC, person_id) AS rank FROM ({leader_sql()}) l
+    WHERE (epoch(TIMESTAMP '{AS_OF}') - floor(epoch(last_ts::TIMESTAMP))) / 86400.0 <= 30 QUALIFY row_number() OVER (ORDER BY total DESC, person_id) <= 100""")
+def _(a: Archive):
+    return shape(c.rerank(leaderboard(a), "sent", AS_OF, hide_quiet=True), person_id="n", rank="n")
+
+
 @register("c5_badges", """
     WITH days AS (SELECT DISTINCT contact_id, ts_local::DATE AS day FROM dm),
     x AS (SELECT *, row_number() OVER (PARTITION BY contact_id ORDER BY day DESC) AS i, max(day) OVER (PARTITION BY contact_id) AS top FROM days),

@@ -38,9 +38,10 @@ def quiet_days(last_ts: Column, as_of: str) -> Column:
 
 
 def rerank(people: DataFrame, metric: str, as_of: str, hide_quiet: bool = False, top: int = 100) -> DataFrame:
-    """The busiest contacts ordered by any metric, missing values last."""
+    """The busiest contacts ordered by any metric, missing values last; ``rank`` numbers them (at most ``top`` rows)."""
     rows = people.where(quiet_days(F.col("last_ts"), as_of) <= 30) if hide_quiet else people
-    return rows.orderBy(F.desc("total"), "person_id").limit(top).orderBy(F.desc_nulls_last(metric), "person_id")
+    busiest = rows.orderBy(F.desc("total"), "person_id").limit(top)
+    return busiest.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last(metric), "person_id")))
 
 
 def badges(people: DataFrame, as_of: str) -> DataFrame:
