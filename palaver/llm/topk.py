@@ -1,10 +1,12 @@
 """Exact top-k inner products with an impact-ordered, score-at-a-time index.
 
 The vectors are cut into blocks. In a block every dimension has posting segments: the
-rows whose value falls into one step of a coarse scale. For a query a segment's impact
-is its step times the query's value; segments are processed by falling impact and add to
-the rows' scores. What is still open bounds what any row can gain, so processing stops
-once the rows that can still be among the k best are few, and never without that
+rows whose value falls into one step of a coarse scale. A segment's impact for a query
+is its step times the query's value, over the least any row has in that dimension. A
+batch of queries takes the segments by falling impact (the largest for any query of the
+batch) and adds each query's impact to the scores of the segment's rows. What is still
+open bounds what any row can gain, so processing stops once, for every query of the
+batch, the rows that can still be among the k best are few, and never without that
 proof; these rows are then scored exactly.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no
@@ -50,38 +52,39 @@ class Segments:
         self.start = np.flatnonzero(new)
         self.stop = np.append(self.start[1:], len(ordered))
         self.level, self.dim = ordered[self.start], dims[self.start]
+        self.first = np.flatnonzero(np.diff(self.dim, prepend=-1))  # each dimension's first segment
         self.low, self.high = (levels.min(0), levels.max(0)) if n else (np.zeros(d, np.int64), np.zeros(d, np.int64))
 
-    def best(self, query: np.ndarray, allowed: np.ndarray, k: int, enough: int, stride: int = 64) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and exact scores that hold the k best allowed rows and all rows that tie with them."""
-        n = len(self.matrix)
-        # Impact over the least a row has in that dimension: never negative, and a row not seen yet can only gain.
-        q = query.astype(np.int64) * self.width
+    def possible(self, queries: np.ndarray, allowed: np.ndarray, k: int, enough: int,
+                 checks: tuple[float, ...] = (0.6, 0.75, 0.85, 0.92, 0.96, 1.0)) -> tuple[np.ndarray, int]:
+        """Rows x queries: which allowed rows can be among the k best of a query; and how many segments it took.
+
+        ``checks``: after which shares of the segments the proof is tried.
+        """
+        n, d = self.matrix.shape
+        q = queries.astype(np.int64) * self.width
         least = np.minimum(q * self.low, q * self.high)
-        impact = q[self.dim] * self.level - least[self.dim]
-        slack = np.abs(query).sum() * (self.width - 1)  # what values lose by the coarse scale
-        order = np.argsort(-impact, kind="stable")
-        score = np.zeros(n, np.int64)
-        top = np.maximum(q * self.low, q * self.high) - least
-        can = np.flatnonzero(allowed)
-        for at in range(0, len(order) + stride, stride):
-            chunk = order[at: at + stride]
-            if len(chunk):
-                sizes = self.stop[chunk] - self.start[chunk]
-                shift = np.repeat(self.start[chunk] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-                picked = self.rows[np.arange(sizes.sum()) + shift]
-                score += np.bincount(picked, np.repeat(impact[chunk], sizes), n).astype(np.int64)
-            if not len(can):
-                break
-            ahead = impact[order[at + stride]] if at + stride < len(order) else 0
-            gain = np.minimum(top, ahead).sum()  # no open segment has a larger impact
-            if len(can) > k:
-                floor = np.partition(score[can], len(can) - k)[len(can) - k]
-                # a row's true score lies within score .. score + gain + slack, up to one shift common to all rows
-                can = can[score[can] + gain + slack >= floor]
-            if len(can) <= max(k, enough):
+        impact = q.T[self.dim] * self.level[:, None] - least.T[self.dim]  # segments x queries, never negative
+        slack = np.abs(queries).sum(1) * (self.width - 1)  # what values lose by the coarse scale
+        order = np.argsort(-impact.max(1), kind="stable") if d and len(queries) else np.empty(0, np.int64)
+        score, still_open, at = np.zeros((n, len(queries)), np.int64), np.ones(len(order), bool), 0
+        can = allowed
+        for share in checks if len(order) else ():
+            stop = int(np.ceil(share * len(order)))
+            for s in order[at:stop].tolist():
+                score[self.rows[self.start[s]: self.stop[s]]] += impact[s]
+            still_open[order[at:stop]] = False
+            at = stop
+            # The most a row can gain: in each dimension the best segment that is still open.
+            best = np.where(still_open[:, None], impact, 0)
+            gain = np.maximum.reduceat(best, self.first, axis=0).sum(0)
+            if n > k:
+                # A row's true score lies within score .. score + gain + slack, up to one shift common to all rows.
+                floor = np.partition(np.where(allowed, score, -1), n - k, axis=0)[n - k]
+                can = allowed & (score + gain + slack >= floor)
+            if can.sum(0).max() <= max(k, enough):
                 break
-        return can, self.matrix[can] @ query
+        return can, at
 
 
 def _matrix(rows: pd.Series, width: int) -> np.ndarray:
@@ -96,9 +99,11 @@ def _search(group: pd.DataFrame, k: int, enough: int) -> pd.DataFrame:
     asks, rows = group[group["asks"]], group[~group["asks"]]
     width = max((len(v) for v in group["v"]), default=0)
     index, ids = Segments(_matrix(rows["v"], width)), rows["id"].to_numpy()
-    out = []
-    for query_id, query in zip(asks["id"].to_numpy(), _matrix(asks["v"], width)):
-        found, score = index.best(query, ids != query_id, k, enough)
+    out, queries, names = [], _matrix(asks["v"], width), asks["id"].to_numpy()
+    can, _ = index.possible(queries, ids[:, None] != names[None, :], k, enough)
+    for i, query_id in enumerate(names):
+        found = np.flatnonzero(can[:, i])
+        score = index.matrix[found] @ queries[i]
         first = np.lexsort((ids[found], -score))[:k]
         out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[found][first], "score": score[first]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
