@@ -19,6 +19,7 @@ alike; other columns are not looked at.
 """
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -33,7 +34,7 @@ from palaver.session import materialize
 from .urls import split_url
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*'|["'])*)(?:>|(?=<)|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|style|aria-hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|\bhidden\b""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 # Fixed values of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed".split())
@@ -43,54 +44,64 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - frozenset("body dd dt head html legend li summary tbody td tfoot th thead tr".split())
 SIBLINGS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table menu select html body article div section".split())
-# Parts that are never main text, by tag, role and by words of class and id.
+# Parts that are never main text, by tag and role.
 DROPPED = frozenset("head nav footer aside form script style noscript template button select textarea title iframe svg object dialog menu header".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
+# Words of class and id that hint at such a part.
 NAMES = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header hidden login masthead menu "
     "modal nav navbar navigation newsletter notice notices pagination popup promo promoted related respond share sharing sidebar signup social sponsor "
     "sponsored subscribe toolbar topbar widget".split())
+# Hints only as a whole name: in a compound (overflow-hidden, related-work, entry-header) they say too little.
+WEAK = frozenset("ad ads banner comment header hidden notice notices related respond share sharing social widget".split())
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 MAX_DEPTH = 64
+# What an open tag says of its part: nothing, never main text, or (a longer text) the hint it gives.
+PLAIN, OFF, STRONG = "", "-", "h:"
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool]:
-    """Name of a node for alignment, and whether its part of the page is never main text."""
+def _label(tag: str, attributes: str) -> tuple[str, str]:
+    """Name of a node for alignment, and what it says of its part of the page."""
+    said = OFF if tag in DROPPED else PLAIN
     if not attributes or attributes.isspace():
-        return tag, tag in DROPPED
-    names, dropped = [], tag in DROPPED
+        return tag, said
+    own: dict[str, str] = {}
     for m in ATTRIBUTE.finditer(attributes):
-        kind, value = (m[1] or "hidden").lower(), (m[2] or "").strip("\"'")
-        words = {w.lower() for w in WORD.findall(value)}
-        if kind in ("class", "id"):
-            names += sorted(words)
-            dropped |= bool(words & NAMES) and tag not in ("html", "body", "article", "main")
-        elif kind == "role":
-            dropped |= value.lower() in ROLES
-            names += ["main"] if value.lower() == "main" else []
-        elif kind == "style":
-            dropped |= "display:none" in value.replace(" ", "").lower()
-        else:
-            dropped |= kind == "hidden" or value.lower() == "true"
-    return ".".join([tag, *names]), dropped
-
-
-def events(page: str) -> Iterator[tuple[str, str, bool]]:
-    """("open", label, dropped), ("close", label, _) and ("text", text, _) with missing end tags supplied."""
+        own.setdefault(m[1].lower(), (m[2] or "").strip("\"'"))
+    names, hints, strong = [], set(), False
+    for kind in ("class", "id"):
+        words: set[str] = set()
+        for name in own.get(kind, "").split():
+            found = {w.lower() for w in WORD.findall(name)}
+            words |= found
+            hints |= found & NAMES
+            strong |= bool(found & NAMES - WEAK) or name.lower() in NAMES
+        names += sorted(words)
+    role = own.get("role", "").lower()
+    names += ["@main"] if role == "main" else []
+    if role in ROLES or "hidden" in own or own.get("aria-hidden", "").lower() == "true" or "display:none" in own.get("style", "").replace(" ", "").lower():
+        said = OFF
+    elif hints and said != OFF and tag not in ("html", "body", "article", "main"):
+        said = (STRONG if strong else "w:") + ".".join([tag, *sorted(hints)])
+    return ".".join([tag, *names]), said
+
+
+def events(page: str) -> Iterator[tuple[str, str, str]]:
+    """("open", label, what it says), ("close", label, _) and ("text", text, _) with missing end tags supplied."""
     stack: list[tuple[str, str]] = []
     at, end = 0, len(page)
 
-    def close_to(depth: int) -> Iterator[tuple[str, str, bool]]:
+    def close_to(depth: int) -> Iterator[tuple[str, str, str]]:
         while len(stack) > depth:
-            yield "close", stack.pop()[1], False
+            yield "close", stack.pop()[1], PLAIN
 
     while at < end:
         m = TOKEN.search(page, at)
         if not m:
-            yield "text", page[at:], False
+            yield "text", page[at:], PLAIN
             break
         if m.start() > at:
-            yield "text", page[at:m.start()], False
+            yield "text", page[at:m.start()], PLAIN
         at = m.end()
         if not m[2]:
             continue
@@ -111,12 +122,12 @@ def events(page: str) -> Iterator[tuple[str, str, bool]]:
             if stack[i][0] in SCOPE:
                 break
         if tag in VOID:
-            yield "text", " ", False
+            yield "text", " ", PLAIN
             continue
-        label, dropped = _label(tag, m[3])
+        label, said = _label(tag, m[3])
         if tag == "header" and any(t == "article" for t, _ in stack):
-            dropped = False  # the article's own heading
-        yield "open", label, dropped
+            said = PLAIN  # the article's own heading
+        yield "open", label, said
         if tag in RAW:
             stop = re.compile(f"</{tag}", re.I).search(page, at)
             at = stop.start() if stop else end
@@ -124,32 +135,104 @@ def events(page: str) -> Iterator[tuple[str, str, bool]]:
     yield from close_to(0)
 
 
-# A wrapper node: [label, pages, repeated, optional, text, chars, dropped, children].
+def parts(page: str) -> Iterator[tuple[str, str, str]]:
+    """The events of blocks; texts between them as one run each, with inline nodes dissolved and dropped ones left out."""
+    text: list[str] = []
+    nodes: list[tuple[bool, bool]] = []  # a block, a dropped inline node
+    off = 0
+
+    for kind, value, said in events(page):
+        if kind == "text":
+            if not off:
+                text.append(entities.unescape(value))
+            continue
+        if kind == "open":
+            block = not off and value.partition(".")[0] in BLOCK
+            nodes.append((block, not block and said == OFF))
+            off += nodes[-1][1]
+        else:
+            block, dropped = nodes.pop()
+            off -= dropped
+        if block:
+            run = " ".join("".join(text).split())
+            text.clear()
+            if run:
+                yield "text", run, PLAIN
+            yield kind, value, said
+    run = " ".join("".join(text).split())
+    if run:
+        yield "text", run, PLAIN
+
+
+def _key(base: str, run: str) -> str:
+    return "t:" + hashlib.blake2b(f"{base}\0{run}".encode("utf-8", "replace"), digest_size=8).hexdigest()
+
+
+def facts(page: str) -> tuple[int, set[tuple[str, str]]]:
+    """Checksum of a page's texts, and its (base, token) pairs: runs of text, counted among all pages or among those with the same hint; token "" counts the base."""
+    found, whole = {("p", "")}, hashlib.blake2b(digest_size=8)
+    stack = [("p", False)]
+    for kind, value, said in parts(page):
+        base, off = stack[-1]
+        if kind == "open":
+            if len(said) > 1:
+                base = said
+                found.add((base, ""))
+            stack.append((base, off or said == OFF))
+        elif kind == "close":
+            stack.pop()
+        elif not off:
+            whole.update(value.encode("utf-8", "replace") + b"\0")
+            found.add((base, _key(base, value)))
+    return int.from_bytes(whole.digest(), "big", signed=True), found
+
+
+def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = set()
+        for host, page in zip(batch["host"], batch["html"]):
+            digest, found = facts(page)
+            rows |= {(host, base, token, digest) for base, token in found}
+        yield pd.DataFrame(sorted(rows), columns=["host", "base", "token", "digest"])
+
+
+def host_facts(pages: DataFrame) -> DataFrame:
+    """host, known (array of tokens) of hosts with several different pages: texts that most of the pages, or of the parts with one hint, share.
+
+    Most is more than half and at least 10 pages, or four fifths. Pages with equal texts count once.
+    """
+    seen = pages.where(F.col("html").isNotNull()).select("host", "html").mapInPandas(_facts, "host string, base string, token string, digest bigint")
+    counts = materialize(seen.groupBy("host", "base", "token").agg(F.countDistinct("digest").alias("n")).where("n > 1"), "facts")
+    sizes = counts.where("token = ''").select("host", "base", F.col("n").alias("all"))
+    common = counts.join(sizes, ["host", "base"]).where("if(n >= 10, 2 * n > all, 5 * n >= 4 * all)")
+    return common.groupBy("host").agg(F.collect_set("token").alias("known"))
+
+
+# A wrapper node: [label, pages, repeated, optional, text, chars, dropped, children, hinted].
 # text: 0 none, a checksum while it is the same everywhere, -1 a slot.
-LABEL, PAGES, REPEATED, OPTIONAL, TEXT, CHARS, DROP, CHILDREN = range(8)
+LABEL, PAGES, REPEATED, OPTIONAL, TEXT, CHARS, DROP, CHILDREN, HINT = range(9)
 
 
 def page_wrapper(page: str) -> list:
     """The one-page wrapper, equal neighbours folded."""
-    root = ["#page", 1, False, False, 0, 0, False, []]
-    stack, skipped = [root], 0
-    for kind, value, dropped in events(page):
+    root = ["#page", 1, False, False, 0, 0, False, [], False]
+    stack = [root]
+    for kind, value, said in parts(page):
         if kind == "open":
-            inline = value.partition(".")[0] not in BLOCK and not dropped
-            if inline or len(stack) > MAX_DEPTH:
+            if len(stack) > MAX_DEPTH:
                 stack.append(stack[-1])
             else:
-                node = [value, 1, False, False, 0, 0, dropped or stack[-1][DROP], []]
+                node = [value, 1, False, False, 0, 0, said == OFF or stack[-1][DROP], [], said.startswith(STRONG)]
                 stack[-1][CHILDREN].append(node)
                 stack.append(node)
         elif kind == "close":
             node = stack.pop()
             if node is not stack[-1]:
                 node[CHILDREN] = _fold(node[CHILDREN])
-        elif not value.isspace():
-            node, text = stack[-1], " ".join(value.split())
-            node[TEXT] = zlib.crc32(text.encode("utf-8", "replace"), node[TEXT]) | 1
-            node[CHARS] += len(text)
+        else:
+            node = stack[-1]
+            node[TEXT] = zlib.crc32(value.encode("utf-8", "replace"), node[TEXT]) | 1
+            node[CHARS] += len(value)
     root[CHILDREN] = _fold(root[CHILDREN])
     return root
 
@@ -174,7 +257,7 @@ def merge(a: list, b: list) -> list:
     """Two wrappers of one node aligned into one."""
     text = a[TEXT] if a[TEXT] == b[TEXT] else -1
     return [a[LABEL], a[PAGES] + b[PAGES], a[REPEATED] or b[REPEATED], a[OPTIONAL] or b[OPTIONAL], text, a[CHARS] + b[CHARS],
-            a[DROP] and b[DROP], _align(a[CHILDREN], b[CHILDREN])]
+            a[DROP] and b[DROP], _align(a[CHILDREN], b[CHILDREN]), a[HINT] and b[HINT]]
 
 
 def _align(a: list[list], b: list[list]) -> list[list]:
@@ -202,18 +285,19 @@ def article_path(wrapper: list) -> list[str]:
     """Labels from the page down to the part that holds the main text."""
     sums: dict[int, int] = {}
 
-    def total(node: list) -> int:
-        sums[id(node)] = 0 if node[DROP] else node[CHARS] + sum(total(c) for c in node[CHILDREN])
+    def total(node: list, hints: bool) -> int:
+        inner = sum([total(c, hints) for c in node[CHILDREN]])
+        sums[id(node)] = 0 if node[DROP] or (hints and node[HINT]) else node[CHARS] + inner
         return sums[id(node)]
 
-    total(wrapper)
+    total(wrapper, True) or total(wrapper, False)
 
     def find(test) -> list[str] | None:
         best: tuple[int, list[str]] | None = None
         todo = [(wrapper, [])]
         while todo:
             node, path = todo.pop()
-            if node[DROP]:
+            if not sums[id(node)]:
                 continue
             if test(node[LABEL]) and (best is None or sums[id(node)] > best[0]):
                 best = (sums[id(node)], path + [node[LABEL]])
@@ -221,12 +305,12 @@ def article_path(wrapper: list) -> list[str]:
                 todo += [(c, path + [node[LABEL]]) for c in node[CHILDREN]]
         return best[1] if best and best[0] else None
 
-    found = find(lambda x: x.partition(".")[0] == "article") or find(lambda x: "main" in x.split("."))
+    found = find(lambda x: x.partition(".")[0] == "article") or find(lambda x: not {"main", "@main"}.isdisjoint(x.split(".")))
     if found:
         return found[1:]
     node, path = wrapper, []
     while True:  # down into the part that holds most of the text and has parts of its own
-        inner = [c for c in node[CHILDREN] if c[CHILDREN] and not c[DROP]]
+        inner = [c for c in node[CHILDREN] if c[CHILDREN] and sums[id(c)]]
         most = max(inner, key=lambda c: sums[id(c)], default=None)
         if most is None or sums[id(most)] < 0.6 * sums[id(node)]:
             return path
@@ -234,45 +318,33 @@ def article_path(wrapper: list) -> list[str]:
         path.append(node[LABEL])
 
 
-def blocks(page: str, path: list[str]) -> list[str] | None:
-    """Text blocks of the part at ``path``; None if the page does not have it."""
-    out, text = [], []
-    nodes: list[tuple[int, bool, bool]] = []  # matched labels of the path, inside it, dropped
-    seen, goal = not path, len(path)
-
-    def close() -> None:
-        block = " ".join("".join(text).split())
-        if block:
-            out.append(block)
-        text.clear()
+def blocks(page: str, path: list[str], known: set[str] | None = None) -> list[str] | None:
+    """Text blocks of the part at ``path``; None if the page does not have it.
 
-    for kind, value, dropped in events(page):
-        depth, inside, off = nodes[-1] if nodes else (0, not path, False)
+    ``known``: the texts the host's pages share, which confirm a hint; without them (a host with one page) a strong hint counts alone.
+    """
+    out = []
+    nodes = [(0, not path, False, "p")]  # matched labels of the path, inside it, dropped, base of the texts
+    seen, goal = not path, len(path)
+    for kind, value, said in parts(page):
+        depth, inside, off, base = nodes[-1]
         if kind == "open":
-            is_block = value.partition(".")[0] in BLOCK
-            if is_block or dropped:
-                if inside:
-                    close()
-                counted = depth + 1 if not inside and not off and depth < goal and value == path[depth] else depth
-                entered = inside or (counted == goal and counted > depth)
-                seen |= entered and not (dropped or off)
-                nodes.append((counted, entered, off or dropped))
-            else:
-                nodes.append((depth, inside, off))
+            counted = depth + 1 if not inside and not off and depth < goal and value == path[depth] else depth
+            off |= said == OFF or (inside and known is None and said.startswith(STRONG))
+            entered = inside or (counted == goal and counted > depth)
+            seen |= entered and not off
+            nodes.append((counted, entered, off, said if len(said) > 1 else base))
         elif kind == "close":
-            if inside and (value.partition(".")[0] in BLOCK or off):
-                close()
             nodes.pop()
-        elif inside and not off:
-            text.append(entities.unescape(value))
-    close()
+        elif inside and not off and not (base != "p" and known and _key(base, value) in known):
+            out.append(value)
     return out if seen else None
 
 
-def extract(page: str | None, path: list[str] | None) -> str:
-    found = blocks(page, path) if page and path is not None else None
+def extract(page: str | None, path: list[str] | None, known: set[str] | None = None) -> str:
+    found = blocks(page, path, known) if page and path is not None else None
     if found is None and page:
-        found = blocks(page, article_path(page_wrapper(page)))
+        found = blocks(page, article_path(page_wrapper(page)), known)
     return "\n\n".join(found or [])
 
 
@@ -331,13 +403,15 @@ def main_text(pages: DataFrame, *carry: str) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"host": batch["host"], "path": [json.dumps(article_path(json.loads(w))) for w in batch["wrapper"]]})
 
-    paths = materialize(host_wrappers(df).mapInPandas(choose, "host string, path string"), "paths")
+    facts = materialize(host_facts(df), "hosts")
+    paths = materialize(host_wrappers(df).mapInPandas(choose, "host string, path string").join(facts, "host", "left"), "paths")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [extract(h, None if p is None else json.loads(p)) for h, p in zip(batch["html"], batch["path"])]
+            texts = [extract(h, None if p is None else json.loads(p), None if k is None else set(k))
+                     for h, p, k in zip(batch["html"], batch["path"], batch["known"])]
             yield batch[list(carry)].assign(text=texts)
 
     schema = ", ".join([f"`{c}` string" for c in carry] + ["text string"])
-    out = df.join(paths, "host", "left").select(*carry, "html", "path").mapInPandas(read, schema)
+    out = df.join(paths, "host", "left").select(*carry, "html", "path", "known").mapInPandas(read, schema)
     return out.select(*[F.col(c).cast(kinds[c]) for c in carry], "text", F.length("text").cast("long").alias("n_chars"))

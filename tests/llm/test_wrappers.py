@@ -44,3 +44,14 @@ def test_alignment_makes_optional_and_repeated_groups():
 
 def test_empty_table(spark):
     assert extract(spark, []) == {}
+
+
+def test_name_words_in_other_attributes_and_in_compounds_cut_nothing(spark):
+    def page(i):
+        return (f"<article><div class='entry-header'><h1>Title {i}</h1></div><div class='elementor-widget elementor-widget-text-editor'><p>Lead {i} with "
+                f"<a href='/hidden-gems'>gems</a>, <a href=/view?id=share data-id='comments'>views</a> and <b hidden>none</b> more</div>"
+                f"<p class='hidden-xs'>Small {i}</p><section class='related-work'>Work {i}</section><div class=share>Share this</div><div hidden>not {i}</div></article>")
+
+    want = "Title {0}\n\nLead {0} with gems, views and more\n\nSmall {0}\n\nWork {0}"
+    got = extract(spark, [(i, f"http://a.org/{i}", page(i)) for i in range(6)] + [(9, "http://one.org/", page(9))])
+    assert {i: t for i, (t, _) in got.items()} == {i: want.format(i) for i in (*range(6), 9)}
