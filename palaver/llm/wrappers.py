@@ -3,10 +3,11 @@
 Every page is read as a stream of tags and text. Aligning the streams of one host gives
 its wrapper, an expression without unions: where streams agree the token stays, equal
 neighbours fold into a repeated group, what one stream lacks becomes optional, and text
-that differs becomes a slot. The wrapper says how much text its slots hold over all
-pages, which picks the part of the page that is the article; each page's text is then
-read from that part, or, if the page does not have it, from the part its own one-page
-wrapper picks.
+that differs becomes a slot. Texts that most different pages of the host share are
+fixed (counted first, so that they align with their like only). The wrapper says how much
+text its slots hold over all pages, which picks the part of the page that is the article;
+each page's text is then read from that part without the fixed texts, or, if the page does
+not have it, from the part its own one-page wrapper picks.
 
 Wrappers are folded inside the tasks first, then in salted groups, then per host, so a
 host with a third of all pages is no hot spot; their size follows the template, not the
@@ -208,31 +209,36 @@ def host_facts(pages: DataFrame) -> DataFrame:
     return common.groupBy("host").agg(F.collect_set("token").alias("known"))
 
 
-# A wrapper node: [label, pages, repeated, optional, text, chars, dropped, children, hinted].
-# text: 0 none, a checksum while it is the same everywhere, -1 a slot.
-LABEL, PAGES, REPEATED, OPTIONAL, TEXT, CHARS, DROP, CHILDREN, HINT = range(9)
+# A wrapper node: [label, pages, repeated, optional, text, chars, dropped, children, hinted, fixed].
+# text: 0 none, a checksum while it is the same everywhere, -1 a slot; chars: of slot text; fixed: of text that the host's pages share.
+LABEL, PAGES, REPEATED, OPTIONAL, TEXT, CHARS, DROP, CHILDREN, HINT, FIXED = range(10)
+FEW = 10  # with fewer pages a host's shared text may come from copies of one article
 
 
-def page_wrapper(page: str) -> list:
-    """The one-page wrapper, equal neighbours folded."""
-    root = ["#page", 1, False, False, 0, 0, False, [], False]
-    stack = [root]
+def page_wrapper(page: str, known: set[str] | None = None) -> list:
+    """The one-page wrapper, equal neighbours folded; nodes of fixed text alone carry it in their label, so they fold and align with their like only."""
+    root = ["#page", 1, False, False, 0, 0, False, [], False, 0]
+    stack, bases = [root], ["p"]
     for kind, value, said in parts(page):
         if kind == "open":
+            bases.append(said if len(said) > 1 else bases[-1])
             if len(stack) > MAX_DEPTH:
                 stack.append(stack[-1])
             else:
-                node = [value, 1, False, False, 0, 0, said == OFF or stack[-1][DROP], [], said.startswith(STRONG)]
+                node = [value, 1, False, False, 0, 0, said == OFF or stack[-1][DROP], [], said.startswith(STRONG), 0]
                 stack[-1][CHILDREN].append(node)
                 stack.append(node)
         elif kind == "close":
             node = stack.pop()
+            bases.pop()
             if node is not stack[-1]:
                 node[CHILDREN] = _fold(node[CHILDREN])
+                if node[FIXED] and not node[CHARS] and not node[CHILDREN]:
+                    node[LABEL] += f"={node[TEXT]}"
         else:
             node = stack[-1]
             node[TEXT] = zlib.crc32(value.encode("utf-8", "replace"), node[TEXT]) | 1
-            node[CHARS] += len(value)
+            node[FIXED if known and _key(bases[-1], value) in known else CHARS] += len(value)
     root[CHILDREN] = _fold(root[CHILDREN])
     return root
 
@@ -257,7 +263,7 @@ def merge(a: list, b: list) -> list:
     """Two wrappers of one node aligned into one."""
     text = a[TEXT] if a[TEXT] == b[TEXT] else -1
     return [a[LABEL], a[PAGES] + b[PAGES], a[REPEATED] or b[REPEATED], a[OPTIONAL] or b[OPTIONAL], text, a[CHARS] + b[CHARS],
-            a[DROP] and b[DROP], _align(a[CHILDREN], b[CHILDREN]), a[HINT] and b[HINT]]
+            a[DROP] and b[DROP], _align(a[CHILDREN], b[CHILDREN]), a[HINT] and b[HINT], a[FIXED] + b[FIXED]]
 
 
 def _align(a: list[list], b: list[list]) -> list[list]:
@@ -281,8 +287,22 @@ def _align(a: list[list], b: list[list]) -> list[list]:
     return out
 
 
+def copies(wrapper: list, path: list[str]) -> bool:
+    """Whether a host's few pages share more of the article than differs: then they are copies of one page, and the shared text is the article."""
+    nodes = [wrapper]
+    for label in path:
+        nodes = [c for n in nodes for c in n[CHILDREN] if c[LABEL] == label]
+    slot = fixed = 0
+    while nodes:
+        node = nodes.pop()
+        if not node[DROP]:
+            slot, fixed = slot + node[CHARS], fixed + node[FIXED]
+            nodes += node[CHILDREN]
+    return wrapper[PAGES] < FEW and fixed > slot
+
+
 def article_path(wrapper: list) -> list[str]:
-    """Labels from the page down to the part that holds the main text."""
+    """Labels from the page down to the part that holds the main text, judged by slot text."""
     sums: dict[int, int] = {}
 
     def total(node: list, hints: bool) -> int:
@@ -321,7 +341,7 @@ def article_path(wrapper: list) -> list[str]:
 def blocks(page: str, path: list[str], known: set[str] | None = None) -> list[str] | None:
     """Text blocks of the part at ``path``; None if the page does not have it.
 
-    ``known``: the texts the host's pages share, which confirm a hint; without them (a host with one page) a strong hint counts alone.
+    ``known``: the fixed texts of the host, which are left out; without them (a host with one page) a strong hint counts alone.
     """
     out = []
     nodes = [(0, not path, False, "p")]  # matched labels of the path, inside it, dropped, base of the texts
@@ -336,7 +356,7 @@ def blocks(page: str, path: list[str], known: set[str] | None = None) -> list[st
             nodes.append((counted, entered, off, said if len(said) > 1 else base))
         elif kind == "close":
             nodes.pop()
-        elif inside and not off and not (base != "p" and known and _key(base, value) in known):
+        elif inside and not off and not (known and _key(base, value) in known):
             out.append(value)
     return out if seen else None
 
@@ -344,7 +364,7 @@ def blocks(page: str, path: list[str], known: set[str] | None = None) -> list[st
 def extract(page: str | None, path: list[str] | None, known: set[str] | None = None) -> str:
     found = blocks(page, path, known) if page and path is not None else None
     if found is None and page:
-        found = blocks(page, article_path(page_wrapper(page)), known)
+        found = blocks(page, article_path(page_wrapper(page, known)), known)
     return "\n\n".join(found or [])
 
 
@@ -358,8 +378,8 @@ def _wrap(batches: Iterator[pd.DataFrame], most: int = 2000) -> Iterator[pd.Data
         return out
 
     for batch in batches:
-        for host, page in zip(batch["host"], batch["html"]):
-            one = page_wrapper(page)
+        for host, page, known in zip(batch["host"], batch["html"], batch["known"]):
+            one = page_wrapper(page, None if known is None else set(known))
             held[host] = merge(held[host], one) if host in held else one
         if len(held) >= most:
             yield emit()
@@ -386,7 +406,7 @@ def _join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def host_wrappers(pages: DataFrame, salts: int = 16) -> DataFrame:
     """host, wrapper (nested lists as text) over all pages of the host."""
     schema = "host string, wrapper string"
-    first = materialize(pages.where(F.col("html").isNotNull()).select("host", "html").mapInPandas(_wrap, schema), "wrappers")
+    first = materialize(pages.where(F.col("html").isNotNull()).select("host", "html", "known").mapInPandas(_wrap, schema), "wrappers")
     salted = first.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts)))
     some = salted.repartition("host", "salt").sortWithinPartitions("host", "salt", "wrapper").select("host", "wrapper").mapInPandas(_join, schema)
     some = materialize(some, "wrappers")
@@ -401,10 +421,13 @@ def main_text(pages: DataFrame, *carry: str) -> DataFrame:
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"host": batch["host"], "path": [json.dumps(article_path(json.loads(w))) for w in batch["wrapper"]]})
+            wrappers = [json.loads(w) for w in batch["wrapper"]]
+            paths = [article_path(w) for w in wrappers]
+            yield pd.DataFrame({"host": batch["host"], "path": [json.dumps(p) for p in paths], "copied": [copies(w, p) for w, p in zip(wrappers, paths)]})
 
-    facts = materialize(host_facts(df), "hosts")
-    paths = materialize(host_wrappers(df).mapInPandas(choose, "host string, path string").join(facts, "host", "left"), "paths")
+    shared = materialize(host_facts(df), "hosts")
+    paths = host_wrappers(df.join(shared, "host", "left")).mapInPandas(choose, "host string, path string, copied boolean").join(shared, "host", "left")
+    paths = materialize(paths.withColumn("known", F.when(F.col("copied") & F.col("known").isNotNull(), F.array().cast("array<string>")).otherwise(F.col("known"))), "paths")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -55,3 +55,16 @@ def test_name_words_in_other_attributes_and_in_compounds_cut_nothing(spark):
     want = "Title {0}\n\nLead {0} with gems, views and more\n\nSmall {0}\n\nWork {0}"
     got = extract(spark, [(i, f"http://a.org/{i}", page(i)) for i in range(6)] + [(9, "http://one.org/", page(9))])
     assert {i: t for i, (t, _) in got.items()} == {i: want.format(i) for i in (*range(6), 9)}
+
+
+def test_fixed_texts_of_a_host_are_left_out_and_do_not_choose_the_place(spark):
+    def page(i, tag):
+        return (f"<body><div class=c1><div class=x><p>{'The same on every page. ' * 40}</p><p>twice</p></div></div><{tag} class=c2><h1>Head {i}</h1>"
+                f"<p>Story {i}</p><p>Read more at our place</p><p>End {i}</p></{tag}></body>")
+
+    rows = [(i, f"http://a.org/{i}", page(i, "div")) for i in range(12)] + [(20 + i, f"http://b.org/{i}", page(i, "article")) for i in range(12)]
+    copy = "<article><h1>News</h1><p>" + "</p><p>".join(f"Part {n} of a text" for n in range(8)) + "</p><p>{}</p></article>"
+    rows += [(50, "http://c.org/1", copy.format("x")), (51, "http://c.org/2", copy.format("y")), (52, "http://c.org/1", copy.format("x"))]
+    got = {i: t for i, (t, _) in extract(spark, rows).items()}
+    assert all(got[i] == f"Head {i % 20}\n\nStory {i % 20}\n\nEnd {i % 20}" for i in (*range(12), *range(20, 32)))
+    assert got[50] == got[52] and got[50].startswith("News\n\nPart 0 of") and got[51].endswith("Part 7 of a text\n\ny")
