@@ -126,7 +126,7 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
             yield "text", " ", PLAIN
             continue
         label, said = _label(tag, m[3])
-        if tag == "header" and any(t == "article" for t, _ in stack):
+        if tag == "header" and any(t in ("article", "main") or "@main" in x.split(".") for t, x in stack):
             said = PLAIN  # the article's own heading
         yield "open", label, said
         if tag in RAW:
@@ -287,12 +287,14 @@ def _align(a: list[list], b: list[list]) -> list[list]:
     return out
 
 
-def copies(wrapper: list, path: list[str]) -> bool:
+def copies(wrapper: list, paths: list[list[str]]) -> bool:
     """Whether a host's few pages share more of the article than differs: then they are copies of one page, and the shared text is the article."""
-    nodes = [wrapper]
-    for label in path:
-        nodes = [c for n in nodes for c in n[CHILDREN] if c[LABEL] == label]
-    slot = fixed = 0
+    nodes, slot, fixed = [], 0, 0
+    for path in paths:
+        at = [wrapper]
+        for label in path:
+            at = [c for n in at for c in n[CHILDREN] if c[LABEL] == label]
+        nodes += at
     while nodes:
         node = nodes.pop()
         if not node[DROP]:
@@ -301,59 +303,74 @@ def copies(wrapper: list, path: list[str]) -> bool:
     return wrapper[PAGES] < FEW and fixed > slot
 
 
-def article_path(wrapper: list) -> list[str]:
-    """Labels from the page down to the part that holds the main text, judged by slot text."""
+def article_paths(wrapper: list) -> list[list[str]]:
+    """Labels from the page down to each part that holds main text, judged by slot text.
+
+    All ``main`` parts and the ``article`` parts outside them, if most pages have one, else the
+    whole page. The descent goes on while one child holds all slot text, or each page has one
+    of several such children at most (each is followed), and ends at an article tag.
+    """
     sums: dict[int, int] = {}
+    heads: set[int] = set()  # nodes with the page's own heading
 
     def total(node: list, hints: bool) -> int:
         inner = sum([total(c, hints) for c in node[CHILDREN]])
-        sums[id(node)] = 0 if node[DROP] or (hints and node[HINT]) else node[CHARS] + inner
+        if node[LABEL].partition(".")[0] == "h1" and node[CHARS] + inner or any(id(c) in heads for c in node[CHILDREN]):
+            heads.add(id(node))
+        off = node[DROP] or (hints and node[HINT] and id(node) not in heads)
+        sums[id(node)] = 0 if off else node[CHARS] + inner
         return sums[id(node)]
 
     total(wrapper, True) or total(wrapper, False)
 
-    def find(test) -> list[str] | None:
-        best: tuple[int, list[str]] | None = None
-        todo = [(wrapper, [])]
+    def is_article(node: list) -> bool:
+        return node[LABEL].partition(".")[0] == "article"
+
+    def is_main(node: list) -> bool:
+        tag, *names = node[LABEL].split(".")
+        return tag == "main" or "@main" in names
+
+    def topmost(top: list, way: list[str], test) -> list[tuple[list, list[str]]]:
+        found, todo = [], [(top, way)]
         while todo:
             node, path = todo.pop()
-            if not sums[id(node)]:
-                continue
-            if test(node[LABEL]) and (best is None or sums[id(node)] > best[0]):
-                best = (sums[id(node)], path + [node[LABEL]])
-            else:
-                todo += [(c, path + [node[LABEL]]) for c in node[CHILDREN]]
-        return best[1] if best and best[0] else None
-
-    found = find(lambda x: x.partition(".")[0] == "article") or find(lambda x: not {"main", "@main"}.isdisjoint(x.split(".")))
-    if found:
-        return found[1:]
-    node, path = wrapper, []
-    while True:  # down into the part that holds most of the text and has parts of its own
-        inner = [c for c in node[CHILDREN] if c[CHILDREN] and sums[id(c)]]
-        most = max(inner, key=lambda c: sums[id(c)], default=None)
-        if most is None or sums[id(most)] < 0.6 * sums[id(node)]:
-            return path
-        node = most
-        path.append(node[LABEL])
+            if sums[id(node)] and test(node):
+                found.append((node, path))
+            elif sums[id(node)]:
+                todo += [(c, path + [c[LABEL]]) for c in node[CHILDREN]]
+        return found if 2 * sum(n[PAGES] for n, _ in found) > top[PAGES] else []
+
+    out, todo = [], [(wrapper, [], False)]
+    while todo:
+        node, path, marked = todo.pop()
+        found = [] if marked else (topmost(node, path, lambda x: is_main(x) or is_article(x)) or topmost(node, path, lambda x: "main" in x[LABEL].split(".")))
+        inner = [c for c in node[CHILDREN] if sums[id(c)]]
+        if found:
+            todo += [(n, way, True) for n, way in found]
+        elif is_article(node) or node[CHARS] or not inner or (len(inner) == 1 and not inner[0][CHILDREN]) or sum(c[PAGES] for c in inner) > max(node[PAGES], inner[0][PAGES]):
+            out.append(path)
+        else:
+            todo += [(c, path + [c[LABEL]], marked) for c in inner]
+    return sorted(out)
 
 
-def blocks(page: str, path: list[str], known: set[str] | None = None) -> list[str] | None:
-    """Text blocks of the part at ``path``; None if the page does not have it.
+def blocks(page: str, paths: list[list[str]], known: set[str] | None = None) -> list[str] | None:
+    """Text blocks of the parts at ``paths``; None if the page has none of them.
 
     ``known``: the fixed texts of the host, which are left out; without them (a host with one page) a strong hint counts alone.
     """
     out = []
-    nodes = [(0, not path, False, "p")]  # matched labels of the path, inside it, dropped, base of the texts
-    seen, goal = not path, len(path)
+    seen = whole = [] in paths
+    nodes = [((0,) * len(paths), whole, False, "p")]  # matched labels of each path, inside one, dropped, base of the texts
     for kind, value, said in parts(page):
-        depth, inside, off, base = nodes[-1]
+        depths, inside, off, base = nodes[-1]
         if kind == "open":
-            counted = depth + 1 if not inside and not off and depth < goal and value == path[depth] else depth
+            if not inside and not off:
+                depths = tuple(d + (d < len(p) and value == p[d]) for d, p in zip(depths, paths))
             off |= said == OFF or (inside and known is None and said.startswith(STRONG))
-            entered = inside or (counted == goal and counted > depth)
-            seen |= entered and not off
-            nodes.append((counted, entered, off, said if len(said) > 1 else base))
+            inside |= not off and any(d == len(p) for d, p in zip(depths, paths))
+            seen |= inside and not off
+            nodes.append((depths, inside, off, said if len(said) > 1 else base))
         elif kind == "close":
             nodes.pop()
         elif inside and not off and not (known and _key(base, value) in known):
@@ -361,10 +378,10 @@ def blocks(page: str, path: list[str], known: set[str] | None = None) -> list[st
     return out if seen else None
 
 
-def extract(page: str | None, path: list[str] | None, known: set[str] | None = None) -> str:
-    found = blocks(page, path, known) if page and path is not None else None
+def extract(page: str | None, paths: list[list[str]] | None, known: set[str] | None = None) -> str:
+    found = blocks(page, paths, known) if page and paths is not None else None
     if found is None and page:
-        found = blocks(page, article_path(page_wrapper(page, known)), known)
+        found = blocks(page, article_paths(page_wrapper(page, known)), known)
     return "\n\n".join(found or [])
 
 
@@ -422,7 +439,7 @@ def main_text(pages: DataFrame, *carry: str) -> DataFrame:
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             wrappers = [json.loads(w) for w in batch["wrapper"]]
-            paths = [article_path(w) for w in wrappers]
+            paths = [article_paths(w) for w in wrappers]
             yield pd.DataFrame({"host": batch["host"], "path": [json.dumps(p) for p in paths], "copied": [copies(w, p) for w, p in zip(wrappers, paths)]})
 
     shared = materialize(host_facts(df), "hosts")

@@ -68,3 +68,19 @@ def test_fixed_texts_of_a_host_are_left_out_and_do_not_choose_the_place(spark):
     got = {i: t for i, (t, _) in extract(spark, rows).items()}
     assert all(got[i] == f"Head {i % 20}\n\nStory {i % 20}\n\nEnd {i % 20}" for i in (*range(12), *range(20, 32)))
     assert got[50] == got[52] and got[50].startswith("News\n\nPart 0 of") and got[51].endswith("Part 7 of a text\n\ny")
+
+
+def test_descent_keeps_title_lead_and_further_sections(spark):
+    forms = {
+        "a": "<body><div class=content><h1>T{0}</h1><p>lead {0}</p><section class=body><p>" + "long {0} " * 40 + "</p><p>x{0}</p></section><section class=more><p>rest {0}</p></section></div></body>",
+        "b": "<main><header><h1>T{0}</h1></header><p>lead {0}</p><article><p>" + "long {0} " * 40 + "</p></article></main><div class=ad>buy {0}</div>",
+        "c": "<div role=main><header><h1>T{0}</h1></header><p>lead {0}</p><div><p>one {0}<p>two {0}</div></div><nav>n {0}</nav>",
+        "d": "<body><article class=x><p>first {0}</article><article class=y><p>second {0}<p>third {0}</article><div class=box>y {0}</div></body>",
+    }
+    rows = [(10 * n + i, f"http://{host}.org/{i}", form.format(i)) for n, (host, form) in enumerate(forms.items()) for i in range(5)]
+    rows += [(100 + n, f"http://single-{host}.org/", form.format(9)) for n, (host, form) in enumerate(forms.items())]
+    got = {i: t for i, (t, _) in extract(spark, rows).items()}
+    want = ["T{0}|lead {0}|" + " ".join(["long {0}"] * 40) + "|x{0}|rest {0}", "T{0}|lead {0}|" + " ".join(["long {0}"] * 40),
+            "T{0}|lead {0}|one {0}|two {0}", "first {0}|second {0}|third {0}"]
+    for n, w in enumerate(want):
+        assert [got[10 * n + i] for i in range(5)] + [got[100 + n]] == [w.format(i).replace("|", "\n\n") for i in (*range(5), 9)]
