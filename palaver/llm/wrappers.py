@@ -10,8 +10,8 @@ each page's text is then read from that part without the fixed texts, or, if the
 not have it, from the part its own one-page wrapper picks.
 
 Wrappers are folded inside the tasks first, then in salted groups, then per host, so a
-host with a third of all pages is no hot spot; their size follows the template, not the
-number of pages.
+host with a third of all pages is no hot spot; nodes are named by tag and the names that
+recur on the host's pages, so the wrappers' size follows the template, not the number of pages.
 
 Defined cases: null and empty html give an empty text; a null url belongs to the host
 without a name; unclosed and stray tags are repaired as browsers do; nodes nested deeper
@@ -61,7 +61,7 @@ MAX_DEPTH = 64
 PLAIN, OFF, STRONG = "", "-", "h:"
 
 
-def _label(tag: str, attributes: str) -> tuple[str, str]:
+def _label(tag: str, attributes: str, known: set[str] | None) -> tuple[str, str]:
     """Name of a node for alignment, and what it says of its part of the page."""
     said = OFF if tag in DROPPED else PLAIN
     if not attributes or attributes.isspace():
@@ -84,10 +84,12 @@ def _label(tag: str, attributes: str) -> tuple[str, str]:
         said = OFF
     elif hints and said != OFF and tag not in ("html", "body", "article", "main"):
         said = (STRONG if strong else "w:") + ".".join([tag, *sorted(hints)])
+    if known is not None:  # names of few pages (generated ones) would never align
+        names = [n for n in names if f"n:{n}" in known or n == "@main"]
     return ".".join([tag, *names]), said
 
 
-def events(page: str) -> Iterator[tuple[str, str, str]]:
+def events(page: str, known: set[str] | None = None) -> Iterator[tuple[str, str, str]]:
     """("open", label, what it says), ("close", label, _) and ("text", text, _) with missing end tags supplied."""
     stack: list[tuple[str, str]] = []
     at, end = 0, len(page)
@@ -125,7 +127,7 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
         if tag in VOID:
             yield "text", " ", PLAIN
             continue
-        label, said = _label(tag, m[3])
+        label, said = _label(tag, m[3], known)
         if tag == "header" and any(t in ("article", "main") or "@main" in x.split(".") for t, x in stack):
             said = PLAIN  # the article's own heading
         yield "open", label, said
@@ -136,13 +138,13 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
     yield from close_to(0)
 
 
-def parts(page: str) -> Iterator[tuple[str, str, str]]:
+def parts(page: str, known: set[str] | None = None) -> Iterator[tuple[str, str, str]]:
     """The events of blocks; texts between them as one run each, with inline nodes dissolved and dropped ones left out."""
     text: list[str] = []
     nodes: list[tuple[bool, bool]] = []  # a block, a dropped inline node
     off = 0
 
-    for kind, value, said in events(page):
+    for kind, value, said in events(page, known):
         if kind == "text":
             if not off:
                 text.append(entities.unescape(value))
@@ -170,7 +172,7 @@ def _key(base: str, run: str) -> str:
 
 
 def facts(page: str) -> tuple[int, set[tuple[str, str]]]:
-    """Checksum of a page's texts, and its (base, token) pairs: runs of text, counted among all pages or among those with the same hint; token "" counts the base."""
+    """Checksum of a page's texts, and its (base, token) pairs: runs of text, counted among all pages or among those with the same hint, and names of nodes; token "" counts the base."""
     found, whole = {("p", "")}, hashlib.blake2b(digest_size=8)
     stack = [("p", False)]
     for kind, value, said in parts(page):
@@ -180,6 +182,7 @@ def facts(page: str) -> tuple[int, set[tuple[str, str]]]:
                 base = said
                 found.add((base, ""))
             stack.append((base, off or said == OFF))
+            found |= {("p", f"n:{name}") for name in value.split(".")[1:]}
         elif kind == "close":
             stack.pop()
         elif not off:
@@ -198,14 +201,15 @@ def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def host_facts(pages: DataFrame) -> DataFrame:
-    """host, known (array of tokens) of hosts with several different pages: texts that most of the pages, or of the parts with one hint, share.
+    """host, known (array of tokens) of hosts with several different pages: texts that most of the pages, or of the parts with one hint, share, and names of nodes.
 
-    Most is more than half and at least 10 pages, or four fifths. Pages with equal texts count once.
+    Most is more than half and at least 10 pages, or four fifths; a name needs two pages and a
+    tenth of all. So the tokens are some times those of one page at most. Pages with equal texts count once.
     """
     seen = pages.where(F.col("html").isNotNull()).select("host", "html").mapInPandas(_facts, "host string, base string, token string, digest bigint")
     counts = materialize(seen.groupBy("host", "base", "token").agg(F.countDistinct("digest").alias("n")).where("n > 1"), "facts")
     sizes = counts.where("token = ''").select("host", "base", F.col("n").alias("all"))
-    common = counts.join(sizes, ["host", "base"]).where("if(n >= 10, 2 * n > all, 5 * n >= 4 * all)")
+    common = counts.join(sizes, ["host", "base"]).where("if(token like 'n:%', 10 * n >= all, if(n >= 10, 2 * n > all, 5 * n >= 4 * all))")
     return common.groupBy("host").agg(F.collect_set("token").alias("known"))
 
 
@@ -219,7 +223,7 @@ def page_wrapper(page: str, known: set[str] | None = None) -> list:
     """The one-page wrapper, equal neighbours folded; nodes of fixed text alone carry it in their label, so they fold and align with their like only."""
     root = ["#page", 1, False, False, 0, 0, False, [], False, 0]
     stack, bases = [root], ["p"]
-    for kind, value, said in parts(page):
+    for kind, value, said in parts(page, known):
         if kind == "open":
             bases.append(said if len(said) > 1 else bases[-1])
             if len(stack) > MAX_DEPTH:
@@ -362,7 +366,7 @@ def blocks(page: str, paths: list[list[str]], known: set[str] | None = None) ->
     out = []
     seen = whole = [] in paths
     nodes = [((0,) * len(paths), whole, False, "p")]  # matched labels of each path, inside one, dropped, base of the texts
-    for kind, value, said in parts(page):
+    for kind, value, said in parts(page, known):
         depths, inside, off, base = nodes[-1]
         if kind == "open":
             if not inside and not off:
@@ -444,7 +448,7 @@ def main_text(pages: DataFrame, *carry: str) -> DataFrame:
 
     shared = materialize(host_facts(df), "hosts")
     paths = host_wrappers(df.join(shared, "host", "left")).mapInPandas(choose, "host string, path string, copied boolean").join(shared, "host", "left")
-    paths = materialize(paths.withColumn("known", F.when(F.col("copied") & F.col("known").isNotNull(), F.array().cast("array<string>")).otherwise(F.col("known"))), "paths")
+    paths = materialize(paths.withColumn("known", F.when(F.col("copied"), F.filter("known", lambda x: ~x.startswith("t:"))).otherwise(F.col("known"))), "paths")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

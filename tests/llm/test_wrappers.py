@@ -84,3 +84,18 @@ def test_descent_keeps_title_lead_and_further_sections(spark):
             "T{0}|lead {0}|one {0}|two {0}", "first {0}|second {0}|third {0}"]
     for n, w in enumerate(want):
         assert [got[10 * n + i] for i in range(5)] + [got[100 + n]] == [w.format(i).replace("|", "\n\n") for i in (*range(5), 9)]
+
+
+def test_names_of_single_pages_do_not_enlarge_the_wrapper(spark):
+    def page(i):
+        name = "".join(chr(97 + (i * 7 + j * j * i) % 26) for j in range(9)) + "abcdefghijklmnopqrstuvwxyz"[i % 26] * (1 + i // 26)
+        return (f"<body class=post{name}><div id={name} class='box css{name}'><h1>T{i}</h1></div><div class='content x{name}'><p>Text {i}<p>more {i}</div></body>")
+
+    sizes = []
+    for n in (8, 80):
+        df = pages(spark, [(i, f"http://a.org/{i}", page(i)) for i in range(n)])
+        (row,) = wrappers.host_wrappers(df.join(wrappers.host_facts(df), "host", "left")).collect()
+        sizes.append(len(row.wrapper))
+    assert sizes[1] < 1.3 * sizes[0]
+    got = extract(spark, [(i, f"http://a.org/{i}", page(i)) for i in range(20)])
+    assert all(got[i][0] == f"T{i}\n\nText {i}\n\nmore {i}" for i in range(20))
