@@ -1,21 +1,24 @@
 """Secret scan: fixed patterns, and a randomness battery with false-discovery control.
 
 Patterns give the base spans. The battery looks at every further run of characters that
-an encoding (hexadecimal, base 32, base 64) could have produced, and tests the run for
-being uniformly random over that alphabet: chi-squared of symbol counts, number of runs
+an encoding (hexadecimal, base 32, base 64) could have produced, and tests the run, its
+parts between separators and each of these without separators, with the smallest alphabet
+that fits, for being uniformly random over that alphabet: chi-squared of symbol counts, number of runs
 above and below the middle symbol, and serial correlation. A run that no test rejects
 may still be ordinary text by chance, the easier the shorter it is. So its p-value is
 the chance that ordinary text of its length, drawn with the corpus's own symbol
 frequencies, looks as uniform; and Benjamini-Hochberg's rule, per encoding and length
-band over all documents, decides which runs are reported as ``random``.
+band over all these tests of all documents, decides which are reported as ``random``; of
+overlapping ones the one with the least p-value.
 
-Defined cases: null and empty texts have no spans; runs that touch a base span are not
-reported again; runs shaped like one word (letters, at most the first a capital) or one
+Defined cases: null and empty texts have no spans; base spans are cut out
+of runs and the rest is tested; runs shaped like one word (letters, at most the first a capital) or one
 number are never candidates; repeated rows count as often as they occur; other columns
 are not looked at.
 """
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Iterator
@@ -43,6 +46,11 @@ ALPHABETS = {
 SYMBOL = {name: np.full(128, -1, np.int64) for name in ALPHABETS}
 for _name, _chars in ALPHABETS.items():
     SYMBOL[_name][[ord(c) for c in _chars]] = np.arange(len(_chars))
+#: Characters that join groups of a key or words to it; ways to split a run at them.
+SEPARATORS = "+/_-"
+SPLITS = [re.compile(f"[{x}]+") for x in ("+/_\\-", "+/", "_\\-", "+", "/", "_", "\\-")]
+PLAIN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+|")
+LEAST = 16
 HIST = 128  # code points whose frequency in ordinary text is kept
 
 
@@ -60,6 +68,39 @@ def encoding_of(run: str) -> str | None:
     return next((name for name in ALPHABETS if (SYMBOL[name][code] >= 0).all()), None)
 
 
+def candidates(text: str, start: int, stop: int) -> Iterator[tuple[int, int, str]]:
+    """(start, end, symbols) of a run, its parts between separators, these without words at their ends, and each without its separators."""
+    seen = set()
+
+    def spans() -> Iterator[tuple[int, int]]:
+        yield start, stop
+        for split in SPLITS:
+            at = start
+            for m in split.finditer(text, start, stop):
+                yield at, m.start()
+                at = m.end()
+            yield at, stop
+
+    def trimmed(s: int, e: int) -> tuple[int, int]:
+        atoms = list(SPLITS[0].finditer(text, s, e))
+        edges = [s, *[m.end() for m in atoms]], [*[m.start() for m in atoms], e]
+        odd = [i for i, (a, b) in enumerate(zip(*edges)) if not PLAIN.fullmatch(text, a, b)]
+        return (edges[0][odd[0]], edges[1][odd[-1]]) if odd else (s, s)
+
+    for s, e in spans():
+        if e - s < LEAST:
+            continue
+        for a, b in ((s, e), trimmed(s, e)):
+            if b - a >= LEAST and (a, b) not in seen:
+                seen.add((a, b))
+                run = text[a:b]
+                bare = run.translate({ord(c): None for c in SEPARATORS})
+                if not PLAIN.fullmatch(run):
+                    yield a, b, run
+                if len(bare) != len(run) and len(bare) >= LEAST and not PLAIN.fullmatch(bare):
+                    yield a, b, bare
+
+
 def _two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
@@ -89,6 +130,16 @@ def battery(symbols: np.ndarray, k: int) -> tuple[float, float, float]:
     return chi, runs, serial
 
 
+def _between(start: int, stop: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What the base spans (in order) leave of a run."""
+    out, at = [], start
+    for s, _, e in base:
+        if s < stop and e > at:
+            out.append((at, s))
+            at = e
+    return [(a, b) for a, b in [*out, (at, stop)] if b - a >= LEAST]
+
+
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per document its base spans and candidate runs with their statistics; per batch one row with the text's symbol counts."""
     for batch in batches:
@@ -98,22 +149,19 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             hist += np.bincount(np.minimum(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), HIST), minlength=HIST + 1)[:HIST]
             base, found = base_spans(text), []
             for m in RUN.finditer(text):
-                s, e = m.span()
-                if any(s < b[2] and b[0] < e for b in base):
-                    continue
-                code = np.frombuffer(m[0].encode(), np.uint8)
-                for name in ALPHABETS:
-                    symbols = SYMBOL[name][code]
-                    if (symbols >= 0).all():
-                        found.append((s, e, name, *battery(symbols, len(ALPHABETS[name]))))
-                        break
+                for left, right in _between(*m.span(), base):
+                    for s, e, run in candidates(text, left, right):
+                        name = encoding_of(run)
+                        if name:
+                            symbols = SYMBOL[name][np.frombuffer(run.encode("ascii"), np.uint8)]
+                            found.append((s, e, len(run), name, *battery(symbols, len(ALPHABETS[name]))))
             rows.append((doc_id, [f"{KINDS[k]}:{s}:{e}" for s, k, e in base], [s for s, _, _ in base], found, None))
         rows.append((None, None, None, None, hist.tolist()))
         yield pd.DataFrame(rows, columns=["doc_id", "base", "starts", "runs", "hist"])
 
 
 SCHEMA = ("doc_id string, base array<string>, starts array<int>, hist array<bigint>, "
-          "runs array<struct<start:int,stop:int,encoding:string,chi:double,runs_p:double,serial_p:double>>")
+          "runs array<struct<start:int,stop:int,length:int,encoding:string,chi:double,runs_p:double,serial_p:double>>")
 
 
 def _chance(n: int, chi: float, share: np.ndarray) -> float:
@@ -151,7 +199,7 @@ def scan(docs: DataFrame, false_rate: float = 0.01, reject: float = 0.001) -> Da
             for runs in batch["runs"]:
                 row = []
                 for r in runs:
-                    k, n = len(ALPHABETS[r["encoding"]]), r["stop"] - r["start"]
+                    k, n = len(ALPHABETS[r["encoding"]]), r["length"]
                     ps = (_chi_tail(r["chi"], k - 1), r["runs_p"], r["serial_p"])
                     p = _chance(n, r["chi"], shares[r["encoding"]])
                     score = int(-100 * math.log10(max(p, 1e-300))) if min(ps) >= reject else -1
@@ -163,13 +211,28 @@ def scan(docs: DataFrame, false_rate: float = 0.01, reject: float = 0.001) -> Da
         judge, "doc_id string, base array<string>, starts array<int>, runs array<struct<start:int,stop:int,band:string,score:int>>"), "judged")
     counts = (judged.select(F.explode("runs").alias("r")).groupBy("r.band", "r.score").agg(F.count("*").alias("n")).collect())
     least = _least_scores([(r["band"], r["score"], r["n"]) for r in counts], false_rate)
-    # At most one entry for each encoding and bit length of a run.
-    limit = F.create_map(*[F.lit(x) for pair in least.items() for x in pair]) if least else F.create_map(F.lit(""), F.lit(0))
-    hits = F.filter("runs", lambda r: r["score"] >= F.coalesce(limit[r["band"]], F.lit(1 << 30)))
-    found = F.transform(hits, lambda r: F.struct(r["start"].alias("start"), F.lit(1).alias("late"), F.concat_ws(":", F.lit("random"), r["start"], r["stop"]).alias("span")))
-    base = F.zip_with("starts", "base", lambda s, b: F.struct(s.alias("start"), F.lit(0).alias("late"), b.alias("span")))
-    spans = F.transform(F.array_sort(F.concat(base, found)), lambda x: x["span"])
-    return judged.select(F.col("doc_id").cast(kind), "base", spans.alias("spans"))
+
+    def report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for base, starts, runs in zip(batch["base"], batch["starts"], batch["runs"]):
+                hits = _apart([(r["score"], r["start"], r["stop"]) for r in runs if r["score"] >= least.get(r["band"], math.inf)])
+                rows = sorted([(int(a), 0, b) for a, b in zip(starts, base)] + [(a, 1, f"random:{a}:{b}") for a, b in hits])
+                out.append([x[2] for x in rows])
+            yield batch[["doc_id", "base"]].assign(spans=out)
+
+    reported = judged.mapInPandas(report, "doc_id string, base array<string>, spans array<string>")
+    return reported.select(F.col("doc_id").cast(kind), "base", "spans")
+
+
+def _apart(hits: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Of (score, start, end) the spans with the highest scores that do not overlap, the longer one at equal scores."""
+    kept: list[tuple[int, int]] = []
+    for _, s, e in sorted(hits, key=lambda x: (-x[0], x[1] - x[2], x[1])):
+        at = bisect.bisect_left(kept, (s, e))
+        if (at == 0 or kept[at - 1][1] <= s) and (at == len(kept) or kept[at][0] >= e):
+            kept.insert(at, (s, e))
+    return kept
 
 
 def _least_scores(counts: list[tuple[str, int, int]], false_rate: float) -> dict[str, int]:

@@ -75,3 +75,18 @@ def test_false_discovery_threshold():
 
 def test_empty_table(spark):
     assert secrets.digest(secrets.scan(docs(spark, []))).count() == 0
+
+
+def test_keys_beside_words_in_groups_and_beside_base_spans_are_found(spark):
+    key, other = random_key(5, 40), random_key(6, 40)
+    raw = random.Random(9).randbytes(24).hex()
+    grouped = "-".join("".join(random.Random(n).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=5)) for n in range(8))
+    texts = {1: (f"get https://h/my_bucket/{key} now", key), 2: (f"team-a/svc/{other} x", other), 3: (f"id {grouped} x", grouped),
+             4: (f"at {raw}_{key} x", key), 5: (f"id {'-'.join(raw[a:a + 8].upper() for a in range(0, 48, 8))} x", "-".join(raw[a:a + 8].upper() for a in range(0, 48, 8)))}
+    df = docs(spark, [(i, t, "en", "s") for i, (t, _) in texts.items()] + [(i, prose(60, i), "en", "s") for i in range(20, 50)])
+    spans = {r.doc_id: r.spans for r in secrets.digest(secrets.scan(df)).collect()}
+    for i, (t, want) in texts.items():
+        inside = [x for x in spans[i].split(",") if x.startswith("random:")]
+        covered = {n for x in inside for n in range(*map(int, x.split(":")[1:]))}
+        assert len(covered & set(range(t.index(want), t.index(want) + len(want)))) >= 0.8 * len(want), (i, spans[i], t)
+    assert all("random:" not in spans[i] for i in range(20, 50))
