@@ -98,13 +98,14 @@ class Model:
 
 
 def fit(labelled: DataFrame, rows_each: int = 2000, seed: int = 5) -> Model | None:
-    """Model from labelled rows (text, lang). Sample: about ``rows_each`` rows of each language, by a seeded hash of the text."""
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row per language, as many as the model has
+    """Model from labelled rows (text, lang). Sample: about ``rows_each`` different texts of each language, by a seeded hash, or all if it has fewer; a text counts once, however many copies there are."""
+    code = F.xxhash64("text", F.lit(seed))
+    sizes = labelled.groupBy("lang").agg(F.countDistinct(code).alias("n")).collect()  # a row per language, as many as the model has
     if not sizes:
         return None
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], rows_each / r["n"])])
-    part = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = labelled.where(part < share[F.col("lang")]).select("lang", "text")
+    part = F.pmod(code, F.lit(1 << 30)) / float(1 << 30)
+    chosen = labelled.where(part < share[F.col("lang")]).select("lang", "text").distinct()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -46,3 +46,10 @@ def test_no_labels(spark):
     got = language.identify(docs(spark, [(1, "text", None, "s")])).collect()
     assert [(r.lang_pred, r.score) for r in got] == [("und", 0.0)]
     assert language.identify(docs(spark, [])).count() == 0
+
+
+def test_copies_neither_hide_a_language_nor_fill_the_sample(spark):
+    rows = [(10 * i + k, text(lang, 50, i), lang, "s") for lang, first in (("aa", 0), ("bb", 100), ("cc", 200)) for i in range(first, first + 3) for k in range(60)]
+    df = docs(spark, [(i + 10000 * n, t, lang, s) for n, (i, t, lang, s) in enumerate(rows)])
+    model = language.fit(df.select("text", "lang"), rows_each=5)
+    assert model.languages == ["aa", "bb", "cc"]
