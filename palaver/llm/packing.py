@@ -97,9 +97,19 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _pairs(items: list[int], widest: int = 24) -> list[tuple[int, int]]:
-    """Pairs of a bin's items; of a bin with very many items, of its ``widest`` first ones (a neighbourhood, no item is left out of the packing)."""
-    return [(i, j) for n, i in enumerate(items[:widest]) for j in items[:n]]
+def _offers(items: list[int], lengths: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """One item or pair of a bin's items for each size there is: all that one or two items can give, at most as many as the capacity."""
+    same: dict[int, list[int]] = {}
+    for i in items:
+        same.setdefault(int(lengths[i]), []).append(i)
+    found = {size: (held[0],) for size, held in same.items()}
+    sizes = list(same)
+    for n, x in enumerate(sizes):
+        if len(same[x]) > 1:
+            found.setdefault(2 * x, tuple(same[x][:2]))
+        for y in sizes[:n]:
+            found.setdefault(x + y, (same[x][0], same[y][0]))
+    return [(out, size) for size, out in found.items()]
 
 
 class LocalSearch:
@@ -114,8 +124,7 @@ class LocalSearch:
         """What other bins can give back: nothing, one item or two."""
         back = [(b, (), 0) for b in range(len(self.bins))]
         for b, items in enumerate(self.bins):
-            back += [(b, (i,), int(self.lengths[i])) for i in items]
-            back += [(b, p, int(self.lengths[p[0]] + self.lengths[p[1]])) for p in _pairs(items)]
+            back += [(b, *x) for x in _offers(items, self.lengths)]
         self.back, self.new = back, []
         self.owner, self.size = np.array([x[0] for x in back]), np.array([x[2] for x in back])
         self.valid = np.ones(len(back), bool)
@@ -124,8 +133,7 @@ class LocalSearch:
         """Bin ``b`` has changed: its old offers end, its new ones are added."""
         self.valid[self.owner == b] = False
         items = self.bins[b]
-        new = [(b, (), 0)] * bool(items) + [(b, (i,), int(self.lengths[i])) for i in items]
-        new += [(b, p, int(self.lengths[p[0]] + self.lengths[p[1]])) for p in _pairs(items)]
+        new = [(b, (), 0)] * bool(items) + [(b, *x) for x in _offers(items, self.lengths)]
         if new:
             self.back += new
             self.owner = np.append(self.owner, [x[0] for x in new])
@@ -137,7 +145,7 @@ class LocalSearch:
     def step(self, low: int) -> bool:
         """The step that takes most out of bin ``low`` in squared fill; whether there was one."""
         mine, best, best_rise = self.bins[low], None, 0
-        gives = [((i,), int(self.lengths[i])) for i in mine] + [(p, int(self.lengths[p[0]] + self.lengths[p[1]])) for p in _pairs(mine)]
+        gives = _offers(mine, self.lengths)
         fill = self.fill[self.owner]
         open_to = self.valid & (self.owner != low) & (fill >= self.fill[low]) & (fill < self.capacity)
         at = np.flatnonzero(open_to)

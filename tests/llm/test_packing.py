@@ -61,3 +61,10 @@ def test_second_round_keeps_bins_that_are_better(spark):
     few = packing.pack(docs(spark, rows), block_rows=1000).select("sequence_id").distinct().count()
     many = packing.pack(docs(spark, rows), block_rows=20).select("sequence_id").distinct().count()
     assert few <= many <= few + 12
+
+
+def test_exchanges_reach_every_item_of_a_bin():
+    lengths = np.array([10] * 30 + [3, 4, 6, 302])  # the 3, 4 and 6 come after 24 others
+    offers = dict((size, out) for out, size in packing._offers(list(range(33)), lengths))
+    assert {3, 4, 6, 7, 9, 10, 13, 14, 16, 20} == set(offers) and all(sum(lengths[i] for i in out) == size for size, out in offers.items())
+    assert offers[7] == (31, 30)
