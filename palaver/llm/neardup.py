@@ -179,8 +179,13 @@ def _verify(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFr
         yield close(held)
 
 
-def groups(docs: DataFrame, percent: int = 85, size: int = 5, places: int = 256, bands: int = 32, tile: int = 120_000) -> DataFrame:
-    """doc_id, key, n_shingles, component_id, kept of every document.
+def groups(docs: DataFrame, **limits) -> DataFrame:
+    """doc_id, key, n_shingles, component_id, kept of every document; ``limits`` as for ``_grouped``."""
+    return _grouped(docs, **limits)[0]
+
+
+def _grouped(docs: DataFrame, percent: int = 85, size: int = 5, places: int = 256, bands: int = 32, tile: int = 120_000) -> tuple[DataFrame, DataFrame]:
+    """The documents with their groups, and doc_id and key of one document for each group.
 
     ``percent``: least intersection in percent of the union; ``places`` and ``bands``:
     signature length and number of bands (with 256 and 32 a pair at 85 percent is missed
@@ -227,15 +232,30 @@ def groups(docs: DataFrame, percent: int = 85, size: int = 5, places: int = 256,
     named = least.join(chosen, "root").select("key", "component_id")
     worded = signed.where(F.col("key").isNotNull()).select("doc_id", "key", "n_shingles").join(named, "key").select("doc_id", "key", "n_shingles", "component_id")
     empty = signed.where(F.col("key").isNull()).select("doc_id", "key", "n_shingles", F.col("doc_id").alias("component_id"))
-    return worded.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = worded.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # The smallest id, a null one last, and of several texts with it the smallest key.
+    first = least.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), F.col("least"), F.col("key"))).alias("first"))
+    return found, first.select(F.col("first.least").alias("doc_id"), F.col("first.key").alias("key"))
 
 
 def keep_one(docs: DataFrame, **limits) -> DataFrame:
     """One document of every group, with all its columns: the one with the smallest id.
 
-    Texts without words stay. Rows equal in id and text count as one document.
+    Texts without words stay. Rows equal in id and text count as one document. Of several
+    texts with the smallest id, or without any id, the one with the smallest key stays.
     """
-    chosen = groups(docs, **limits).where("kept").select(F.col("doc_id").alias("chosen")).distinct()
-    rows = whole(docs, doc_id=F.col("doc_id"), digest=F.md5(F.coalesce("text", F.lit(""))))
-    kept = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "digest"]).select("whole.*")
+    found, first = _grouped(docs, **limits)
+    size = limits.get("size", 5)
+    # Keys only of texts whose id was chosen; ids may be shared by other texts.
+    ids = first.select(F.col("doc_id").alias("chosen")).unionByName(found.where(F.col("key").isNull()).select(F.col("doc_id").alias("chosen"))).distinct()
+
+    @F.pandas_udf("binary")
+    def key_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t, size)[0] for t in texts], dtype=object)
+
+    rows = whole(docs, doc_id=F.col("doc_id"), text=F.col("text"))
+    rows = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi").withColumn("key", key_of("text"))
+    empty = rows.where(F.col("key").isNull()).withColumn("digest", F.md5(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "digest"])
+    wanted = first.select(F.col("doc_id").alias("chosen"), F.col("key").alias("own"))
+    worded = rows.where(F.col("key").isNotNull()).join(wanted, F.col("key").eqNullSafe(F.col("own")) & F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi")
+    return empty.select("whole.*").unionByName(worded.dropDuplicates(["doc_id", "key"]).select("whole.*"))

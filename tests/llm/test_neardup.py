@@ -102,3 +102,12 @@ def test_components_of_a_long_chain(spark):
 
 def test_empty_table(spark):
     assert neardup.groups(docs(spark, [])).count() == 0
+
+
+def test_keep_one_where_ids_are_shared_or_missing(spark):
+    a, b = prose(200, 1), prose(200, 2)
+    rows = [(7, a + " x", "en", "s"), (7, a + " y", "en", "s"), (7, b, "en", "s"), (9, b + " z", "en", "s")]
+    rows += [(None, prose(200, 3) + f" v{i}", "en", "s") for i in range(3)] + [(None, prose(90, 4), "en", "s"), (7, "", "en", "s"), (None, None, "en", "s")]
+    kept = [(r.doc_id, (r.text or "")[:40]) for r in neardup.keep_one(docs(spark, rows)).collect()]
+    want = [(7, a[:40]), (7, b[:40]), (None, prose(200, 3)[:40]), (None, prose(90, 4)[:40]), (7, ""), (None, "")]
+    assert sorted(kept, key=str) == sorted(want, key=str)
