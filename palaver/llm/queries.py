@@ -1,11 +1,11 @@
-"""Registered queries of the ten operators. Each applies one operator to its whole table."""
+"""Registered queries of the operators. Each applies one operator to its whole table."""
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, neardup, packing, quality, secrets, sql, topk, urls, warc, wrappers
+from . import language, lattice, mixing, neardup, packing, quality, repair, secrets, spelling, sql, topk, urls, warc, wrappers
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,10 +70,28 @@ def op10_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"))
 
 
+@register
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+@register
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.report(table(spark, folder, "conversations"))
+
+
+@register
+def op13_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice.groups(table(spark, folder, "embeddings"))
+
+
 ORACLES = {
     "op4_url_filters": sql.urls(RULES),
     "op5_quality_rules": sql.quality(quality.WORDS),
     "op6_minhash_near_dedup": sql.NEAR_DUPLICATES,
     "op9_warc": sql.ARCHIVE,
     "op10_exact_top_k": sql.TOP_K,
+    "op11_spelling_variants": sql.SPELLING,
+    "op12_conversation_repair": sql.REPAIR,
+    "op13_embedding_near_dedup": sql.NEAR_VECTORS,
 }

@@ -104,3 +104,69 @@ mass AS (SELECT host, sum(m) FILTER (kind = 't') AS trust, sum(m) FILTER (kind =
 SELECT page_id, f.host, path, rule,
   coalesce(verdict, CASE WHEN coalesce(distrust, 0) - coalesce(trust, 0) >= {threshold} * (1 - {damping}) THEN 'block' END, 'allow') AS verdict
 FROM f LEFT JOIN mass ON mass.host = f.host"""
+
+
+def _crc32(text: str) -> str:
+    """Checksum of a text of code points below U+0100, bit by bit over its UTF-8 bytes."""
+    data = f"flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [194 + ord(c) // 192, 128 + ord(c) % 64] END))"
+    step = "list_reduce(range(8), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)), xor(h, b::BIGINT))"
+    return f"xor(list_reduce({data}, lambda h, b: {step}, 4294967295::BIGINT), 4294967295)"
+
+
+SPELLING = f"""
+WITH RECURSIVE runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all({LOWER.format('text')}, '[A-Za-zÀ-ÿ]+')) AS w FROM documents),
+held AS (SELECT w, n, {_crc32("d || ':' || w")} AS h FROM (SELECT d, w, count(*) AS n FROM runs GROUP BY d, w)),
+cut AS (SELECT CASE WHEN h % 97 = 0 THEN w[:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, n FROM held),
+v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+less AS MATERIALIZED (SELECT word, i, word[:i - 1] || word[i + 1:] AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS MATERIALIZED (
+  SELECT a.word, b.word AS other FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT less.word, v.word FROM less JOIN v ON v.word = rest
+  UNION SELECT v.word, less.word FROM less JOIN v ON v.word = rest),
+best AS (SELECT near.word, count(*) AS n_near, min({{'m': -v.n, 'w': v.word}}) AS b FROM near JOIN v ON v.word = near.other GROUP BY near.word),
+formed AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -b.m >= 2 * v.n THEN b.w END AS form, CASE WHEN -b.m >= 2 * v.n THEN -b.m END AS form_n
+  FROM v LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS root, form AS ahead FROM formed UNION ALL SELECT walk.word, walk.ahead, f.form FROM walk JOIN formed f ON f.word = walk.ahead)
+SELECT formed.word, form, root, n, n_near, form_n::BIGINT AS form_n FROM formed JOIN walk ON walk.word = formed.word AND walk.ahead IS NULL"""
+
+
+REPAIR = rf"""
+WITH RECURSIVE given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS code FROM conversations),
+damaged AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+    CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN code = 3 THEN [0, 1] ELSE [0] END) AS again FROM given WHERE code <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM damaged),
+marked AS MATERIALIZED (SELECT *, left(role, 1) AS i, left(role, 1) || lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS pair,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 2
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault FROM placed),
+step(p, i, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+more(p, q, c, a, t) AS (VALUES (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 3, 'I', ['user:']), (1, 2, 3, 'I', ['user:']),
+    (3, 2, 3, 'I', ['user:']), (2, 3, 3, 'I', ['assistant:']), (0, 3, 6, 'II', ['user:', 'assistant:']), (1, 3, 6, 'II', ['user:', 'assistant:'])),
+edits AS (
+  SELECT conv_id, k, p, p AS q, 4 AS c, 'D' AS a, []::VARCHAR[] AS t FROM marked, (SELECT unnest(range(4)) AS p)
+  UNION ALL SELECT conv_id, k, p, q, CASE WHEN fault = 3 THEN 3 ELSE 0 END, 'K', [role || ':' || text] FROM marked JOIN step USING (i) WHERE fault IN (0, 3)
+  UNION ALL SELECT conv_id, k, p, q, CASE WHEN fault = 3 THEN 6 ELSE 3 END, 'R', [CASE step.i WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text]
+  FROM marked JOIN step ON step.i <> 's' WHERE fault IN (0, 3)),
+moves AS MATERIALIZED (SELECT conv_id, k, e.p, m.q, e.c + m.c AS c, e.a || m.a AS a, e.t || m.t AS t FROM edits e JOIN more m ON e.q = m.p),
+parse AS (
+  SELECT conv_id, 0::BIGINT AS k, q, {{'c': c, 'a': a, 't': t}} AS b FROM (SELECT DISTINCT conv_id FROM conversations), more WHERE p = 0
+  UNION ALL
+  SELECT m.conv_id, m.k, m.q, min({{'c': b.c + m.c, 'a': b.a || m.a, 't': b.t || m.t}}) FROM parse JOIN moves m
+    ON m.conv_id IS NOT DISTINCT FROM parse.conv_id AND m.k = parse.k + 1 AND m.p = parse.q GROUP BY m.conv_id, m.k, m.q),
+least AS (SELECT conv_id, min(b) AS b FROM parse WHERE q IN (0, 3) GROUP BY conv_id, k QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) = 1),
+counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+    count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY conv_id)
+SELECT least.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, b.c::BIGINT AS cost, b.a AS audit, sha256(array_to_string(b.t, chr(10))) AS repaired_sha256
+FROM least LEFT JOIN counted ON counted.conv_id IS NOT DISTINCT FROM least.conv_id"""
+
+
+NEAR_VECTORS = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+sound AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, x FROM v WHERE x IS NOT NULL AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND list_inner_product(x, x) > 0),
+links AS MATERIALIZED (SELECT a.rid AS a, b.rid AS b FROM sound a JOIN sound b ON a.rid <> b.rid AND len(a.x) = len(b.x)
+  WHERE list_inner_product(a.x, b.x) / (sqrt(list_inner_product(a.x, a.x)) * sqrt(list_inner_product(b.x, b.x))) >= 0.95),
+reach AS (SELECT rid, vec_id AS low FROM sound UNION SELECT links.b, reach.low FROM reach JOIN links ON links.a = reach.rid),
+found AS (SELECT sound.rid, vec_id, min(low) AS component_id FROM reach JOIN sound USING (rid) GROUP BY sound.rid, vec_id)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = found.rid)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM found
+UNION ALL SELECT vec_id, 0, vec_id, true FROM v WHERE x IS NULL OR len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) > 0 OR coalesce(list_inner_product(x, x), 0) = 0"""
