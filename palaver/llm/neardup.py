@@ -49,12 +49,20 @@ class WordHash(dict):
 _HASH = WordHash()
 
 
+def low_words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
+
+
+def text_key(words: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words))
+
+
 def shingles(text: str | None, size: int = 5) -> tuple[bytes | None, np.ndarray]:
     """Key of the lower-cased word sequence (None without words) and the sorted distinct shingle hashes."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
+    words = low_words(text)
     if not words:
         return None, np.empty(0, np.uint64)
-    key = xxhash.xxh3_128_digest(b" ".join(words))
+    key = text_key(words)
     h = np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words))
     n = max(1, len(words) - size + 1)
     out = np.full(n, len(words) if len(words) < size else size, np.uint64)
@@ -238,24 +246,27 @@ def _grouped(docs: DataFrame, percent: int = 85, size: int = 5, places: int = 25
     return found, first.select(F.col("first.least").alias("doc_id"), F.col("first.key").alias("key"))
 
 
+def _pair(ids: pd.Series, texts: pd.Series) -> pd.DataFrame:
+    """What names a row: the key of its text (or the digest of a text without words), then its id."""
+    out = []
+    for doc_id, text in zip(ids, texts):
+        words = low_words(text)
+        key = text_key(words) if words else b"0" + xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass"))
+        out.append((key + (b"" if doc_id is None else b"i" + doc_id.encode("utf-8", "surrogatepass")), not words))
+    return pd.DataFrame(out, columns=["pair", "bare"])
+
+
 def keep_one(docs: DataFrame, **limits) -> DataFrame:
     """One document of every group, with all its columns: the one with the smallest id.
 
     Texts without words stay. Rows equal in id and text count as one document. Of several
     texts with the smallest id, or without any id, the one with the smallest key stays.
+    Whole rows move once: they are reduced to one for each pair of text and id, and meet the chosen pairs there.
     """
-    found, first = _grouped(docs, **limits)
-    size = limits.get("size", 5)
-    # Keys only of texts whose id was chosen; ids may be shared by other texts.
-    ids = first.select(F.col("doc_id").alias("chosen")).unionByName(found.where(F.col("key").isNull()).select(F.col("doc_id").alias("chosen"))).distinct()
-
-    @F.pandas_udf("binary")
-    def key_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t, size)[0] for t in texts], dtype=object)
-
-    rows = whole(docs, doc_id=F.col("doc_id"), text=F.col("text"))
-    rows = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi").withColumn("key", key_of("text"))
-    empty = rows.where(F.col("key").isNull()).withColumn("digest", F.md5(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "digest"])
-    wanted = first.select(F.col("doc_id").alias("chosen"), F.col("key").alias("own"))
-    worded = rows.where(F.col("key").isNotNull()).join(wanted, F.col("key").eqNullSafe(F.col("own")) & F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi")
-    return empty.select("whole.*").unionByName(worded.dropDuplicates(["doc_id", "key"]).select("whole.*"))
+    _found, first = _grouped(docs, **limits)
+    suffix = F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.lit("")).cast("binary")
+    chosen = first.select(F.concat("key", suffix).alias("pair"), F.lit(True).alias("chosen"))
+    named = whole(docs, doc_id=F.col("doc_id").cast("string"), text=F.col("text")).withColumn(
+        "name", F.pandas_udf(_pair, "pair binary, bare boolean")("doc_id", "text"))
+    rows = named.select("name.pair", "name.bare", "whole").dropDuplicates(["pair"])
+    return rows.join(chosen.hint("merge"), "pair", "left").where(F.col("bare") | F.col("chosen")).select("whole.*")

@@ -114,7 +114,7 @@ def conversation(rng, conv, n):
 
 def test_equal_to_every_edit_sequence(spark):
     rng = random.Random(7)
-    rows = [r for c in range(60) for r in conversation(rng, c, rng.randrange(1, 4))]
+    rows = [r for c in range(60) for r in conversation(rng, c, rng.randrange(1, 3))]
     got = repair.report(frame(spark, rows)).collect()
     assert {tuple(r) for r in got} == brute(rows) and len(got) == 60
 
