@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Window, functions as F
 
 from palaver.functions import text as tx
@@ -10,6 +11,7 @@ from palaver.operators import matrix
 from palaver.operators.community import communities
 from palaver.operators.components import connected_components
 from palaver.operators.knn import nearest_neighbours
+from palaver.operators.percentiles import exact_percentiles
 from palaver.operators.spectral import laplacian_eigenpairs
 from palaver.plans import graph as g
 from palaver.session import materialize, shared_dir
@@ -121,33 +123,64 @@ def at(a: Archive, gamma: float):
     return s_communities(a).where(F.col("gamma") == gamma).select("id", "cluster_id")
 
 
+def giant(a: Archive):
+    return a.keep("giant", lambda: g.giant_component(s_vectors(a).select("id"), s_edges(a)))
+
+
 def spectrum(a: Archive):
-    """(eigenvalues, eigenvector rows) of the giant component of the session graph."""
+    """The 64 smallest eigenpairs of the giant component of the session graph, with their residuals."""
     if "_spectrum" not in a.__dict__:
-        giant = a.keep("giant", lambda: g.giant_component(s_vectors(a).select("id"), s_edges(a)))
-        a.__dict__["_spectrum"] = laplacian_eigenpairs(giant, g.inside(s_edges(a), giant), k=16)
+        a.__dict__["_spectrum"] = laplacian_eigenpairs(giant(a), g.inside(s_edges(a), giant(a)), k=64)
     return a.__dict__["_spectrum"]
 
 
 def spectral_labels(a: Archive):
     def build():
-        values, vectors = spectrum(a)
-        _rows, k = g.eigengaps(values)
-        k = min(k, len(values))
-        return matrix.kmeans(g.spectral_rows(vectors, k), "u", k, seed=0, measure="euclidean")[0].select("id", "cluster_id")
+        found = spectrum(a)
+        _rows, k = g.eigengaps(found.values)
+        k = min(k, len(found.values))
+        return matrix.kmeans(g.spectral_rows(found.vectors, k), "u", k, seed=0, measure="euclidean")[0].select("id", "cluster_id")
 
     return a.keep("spectral_labels", build)
 
 
+TIMES = (1, 4, 16)
+
+
+def diffusion_scores(a: Archive):
+    """(t, silhouette of the spectral clusters in 32 diffusion coordinates) for each time."""
+    if "_diffusion" not in a.__dict__:
+        found = spectrum(a)
+        a.__dict__["_diffusion"] = [(t, matrix.silhouette(g.diffusion(found.vectors, found.values, t).join(spectral_labels(a), "id"), "coords", measure="euclidean"))
+                                    for t in TIMES]
+    return a.__dict__["_diffusion"]
+
+
+def best_time(a: Archive) -> int:
+    return max(diffusion_scores(a), key=lambda x: (round(x[1], 3), -x[0]))[0]
+
+
+def clean_vectors(a: Archive):
+    """Session vectors without their mean and two leading axes."""
+    return a.keep("session_clean", lambda: matrix.debias(s_vectors(a), "embedding", 2).select("id", F.col("debiased").alias("embedding")))
+
+
+def density(a: Archive):
+    """(spanning forest, leaf members, leaf levels) of the cleaned session vectors."""
+    if "_density" not in a.__dict__:
+        near = a.keep("clean_knn", lambda: nearest_neighbours(clean_vectors(a), 50))
+        a.__dict__["_density"] = g.density_tree(near)
+    return a.__dict__["_density"]
+
+
 def density_labels(a: Archive):
-    return a.keep("density_labels", lambda: g.density_clusters(s_vectors(a).select("id"), s_knn(a)))
+    return a.keep("density_labels", lambda: g.density_labels(s_vectors(a).select("id"), density(a)[1]))
 
 
 def kmeans_labels(a: Archive):
     def build():
         k = min(at(a, 1.0).select("cluster_id").distinct().count(), 30)
-        clean = matrix.debias(s_vectors(a), "embedding", 2)
-        return matrix.kmeans(clean, "debiased", max(k, 2), seed=0, measure="euclidean")[0].select("id", "cluster_id")
+        return matrix.kmeans(clean_vectors(a), "embedding", max(k, 2), seed=0, measure="euclidean")[0].select("id", "cluster_id")
 
     return a.keep("kmeans_labels", build)
 
@@ -308,22 +341,49 @@ def _(a: Archive):
     return shape(g.coherence(nodes(a), labels(a)), coherence="d")
 
 
+GIANT = """
+    cc(id, comp) USING KEY (id) AS (
+        SELECT session_id, session_id FROM session_vecs UNION
+        SELECT e.other, min(cc.comp) FROM cc JOIN sends20 e ON e.id = cc.id JOIN recurring.cc old ON old.id = e.other
+        WHERE cc.comp < old.comp GROUP BY 1),
+    giant AS (SELECT count(*) AS n FROM cc GROUP BY comp ORDER BY n DESC, comp LIMIT 1)"""
+
+
 @register("g12_laplacian_eigenvalues")
 def _(a: Archive):
-    values, _vectors = spectrum(a)
-    return a.spark.createDataFrame([(i + 1, round(float(x), 6)) for i, x in enumerate(values)], "k int, value double")
+    found = spectrum(a)
+    rows = [(i + 1, round(float(x), 6), float(d), bool(d < 1e-6)) for i, (x, d) in enumerate(zip(found.values, found.residuals))]
+    return a.spark.createDataFrame(rows, "k int, value double, residual double, settled boolean")
+
+
+@register("g12_spectrum_invariants", f"""
+    WITH {GIANT} SELECT least(64, n - 2)::BIGINT AS pairs, 0.0::DOUBLE AS lowest, least(64, n - 2)::BIGINT AS settled, 0.0::DOUBLE AS off_diagonal, true AS ascending FROM giant""")
+def _(a: Archive):
+    """How many pairs there are, the first one (0 for a connected graph), residuals below 1e-6, and how far the vectors are from orthonormal."""
+    found = spectrum(a)
+    k = len(found.values)
+    cells = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(k)), lambda j: F.element_at("vector", i) * F.element_at("vector", j)))
+    sums = found.vectors.select(F.posexplode(F.flatten(cells)).alias("cell", "x")).groupBy("cell").agg(F.sum("x").alias("x"))
+    off = sums.agg(F.max(F.abs(F.col("x") - F.when(F.floor(F.col("cell") / k) == F.col("cell") % k, 1.0).otherwise(0.0))).alias("off"))
+    return off.select(F.lit(k).cast("bigint").alias("pairs"), F.lit(round(float(found.values[0]), 6) + 0.0).alias("lowest"),
+                      F.lit(int((found.residuals < 1e-6).sum())).cast("bigint").alias("settled"), (F.round("off", 6) + F.lit(0.0)).alias("off_diagonal"),
+                      F.lit(bool((np.diff(found.values) >= -1e-9).all())).alias("ascending"))
 
 
 @register("g13_largest_eigengaps")
 def _(a: Archive):
-    rows, k = g.eigengaps(spectrum(a)[0])
+    rows, k = g.eigengaps(spectrum(a).values)
     return a.spark.createDataFrame([(i, round(x, 6), round(d, 6), k) for i, x, d in rows], "k int, value double, gap double, chosen int")
 
 
 @register("m8_cluster_number_by_eigengap")
 def _(a: Archive):
-    rows, k = g.eigengaps(spectrum(a)[0], first=8, keep=1, low=8, high=24)
-    return a.spark.createDataFrame([(k,)], "k int")
+    """Number of topics: eigengap on a sample of 3,000 debiased text vectors."""
+    chosen = a.keep("debiased_vectors", lambda: matrix.debias(a.given("embeddings"), "embedding", 3).select(
+        F.col("vec_id").alias("id"), F.col("debiased").alias("embedding")))
+    values = g.sampled_spectrum(chosen)
+    k = g.eigengap_number(values)
+    return a.spark.createDataFrame([(i, round(float(values[i] - values[i - 1]), 6), i == k) for i in range(8, min(24, len(values) - 1) + 1)], "k int, gap double, chosen boolean")
 
 
 @register("g14_spectral_clusters")
@@ -333,12 +393,8 @@ def _(a: Archive):
 
 @register("g15_diffusion_silhouette")
 def _(a: Archive):
-    values, vectors = spectrum(a)
-    out = []
-    for t in (1, 4, 16):
-        rows = g.diffusion(vectors, values, t).join(spectral_labels(a), "id")
-        out.append((t, round(matrix.silhouette(rows, "coords", measure="euclidean"), 6)))
-    return a.spark.createDataFrame(out, "t int, silhouette double")
+    best = best_time(a)
+    return a.spark.createDataFrame([(t, round(s, 6), t == best) for t, s in diffusion_scores(a)], "t int, silhouette double, best boolean")
 
 
 @register("g16_density_clusters")
@@ -346,6 +402,23 @@ def _(a: Archive):
     return density_labels(a).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
 
 
+@register("g16_density_tree", """
+    SELECT (SELECT count(*) FROM session_vecs) AS nodes, true AS is_forest, true AS all_large, true AS all_connected, true AS all_separate, true AS some""")
+def _(a: Archive):
+    """Checks on the written tree: no cycles, and every cluster is connected below its level, large and cut off at it."""
+    forest, leaves, levels = (x for x in density(a))
+    sides = [leaves.select(F.col("id").alias(e), F.col("core").alias(f"core_{e}")) for e in "ab"]
+    seen = forest.join(sides[0], "a", "left").join(sides[1], "b", "left")
+    inner = seen.where("core_a = core_b").groupBy(F.col("core_a").alias("core")).agg(F.count(F.lit(1)).alias("inner_edges"), F.max("w").alias("highest"))
+    border = seen.where("NOT (core_a <=> core_b)").select(F.explode(F.array_compact(F.array("core_a", "core_b"))).alias("core"), "w").groupBy("core").agg(F.min("w").alias("border"))
+    rows = leaves.groupBy("core").agg(F.count(F.lit(1)).alias("n")).join(levels, "core").join(inner, "core", "left").join(border, "core", "left")
+    facts = rows.agg(F.min(F.col("n") >= 10).alias("all_large"), F.min((F.col("inner_edges") == F.col("n") - 1) & F.coalesce(F.col("highest") <= F.col("level"), F.lit(True))).alias("all_connected"),
+                     F.min(F.coalesce(F.col("border") >= F.col("level"), F.lit(True))).alias("all_separate"), (F.count(F.lit(1)) > 0).alias("some"))
+    parts = connected_components(s_vectors(a).select("id"), forest).select("component").distinct().count()
+    n = s_vectors(a).count()
+    return facts.select(F.lit(n).cast("bigint").alias("nodes"), F.lit(forest.count() == n - parts).alias("is_forest"), "all_large", "all_connected", "all_separate", "some")
+
+
 @register("g17_kmeans_baseline")
 def _(a: Archive):
     return kmeans_labels(a).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
@@ -432,6 +505,7 @@ def _(a: Archive):
 
 @register("g24_small_niches")
 def _(a: Archive):
+    """Density clusters of 8 to 60 sessions with phrases of their own, smallest first."""
     described = g.describe(s_docs(a), s_vectors(a), s_texts(a), s_phrases(a), s_edges(a), density_labels(a), None, 8, 5, 60)
     return shape(g.niches(described), cluster_id="n", size="n", conductance="d", phrases="s", top_contact="s", top_contact_share="d", example="s")
 
@@ -524,22 +598,30 @@ def _(a: Archive):
 
 @register("g29_method_comparison")
 def _(a: Archive):
+    """Each method's clusters, those of at least five, median size, share of noise, conductance, coherence and agreement."""
     methods = {f"communities {gamma}": at(a, gamma) for gamma in (0.5, 1.0, 2.0, 4.0)}
     methods.update({"density": density_labels(a), "k-means": kmeans_labels(a), "spectral": spectral_labels(a)})
     reference = at(a, 1.0)
     rows = a.keep("methods", lambda: stacked([
         materialize(quality_row(name, s_edges(a), found, s_vectors(a)).withColumn("ari", g.adjusted_rand(reference, found).scalar()), "method")
         for name, found in methods.items()]))
-    return shape(rows, name="s", clusters="n", mean_conductance="d", coherence="d", ari="d")
+    sized = stacked([found.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size")).withColumn("name", F.lit(name)) for name, found in methods.items()])
+    sized = a.keep("method_sizes", lambda: sized)
+    large = sized.groupBy("name").agg(
+        F.sum(((F.col("cluster_id") >= 0) & (F.col("size") >= 5)).cast("bigint")).alias("large"),
+        (F.sum(F.when(F.col("cluster_id") < 0, F.col("size")).otherwise(0)) / F.sum("size")).alias("noise_share"))
+    median = exact_percentiles(sized.where("cluster_id >= 0"), ["name"], F.col("size"), {"median_size": 0.5})
+    return shape(rows.join(large, "name").join(median, "name", "left"), name="s", clusters="n", large="n", median_size="d", noise_share="d",
+                 mean_conductance="d", coherence="d", ari="d")
 
 
 def map_rows(a: Archive):
     """Coordinates of the giant component in diffusion space and the labelled community per resolution."""
 
     def build():
-        values, vectors = spectrum(a)
-        rows = g.layout(g.diffusion(vectors, values, 4), ["x3", "y3", "z3"]).select("id", "x3", "y3", "z3")
-        flat = g.layout(g.diffusion(vectors, values, 4), ["x", "y"]).select("id", "x", "y")
+        found, t = spectrum(a), best_time(a)
+        rows = g.layout(g.diffusion(found.vectors, found.values, t), ["x3", "y3", "z3"]).select("id", "x3", "y3", "z3")
+        flat = g.layout(g.diffusion(found.vectors, found.values, t), ["x", "y"]).select("id", "x", "y")
         rows = rows.join(flat, "id")
         for gamma, name in ((0.5, "c05"), (1.0, "c1"), (2.0, "c2"), (4.0, "c4")):
             sized = at(a, gamma)
@@ -561,9 +643,9 @@ def _(a: Archive):
 
 def layout_variants(a: Archive):
     def build():
-        values, vectors = spectrum(a)
-        return stacked([g.layout(g.diffusion(vectors, values, t), ["x3", "y3", "z3"]).select(
-            F.col("id").alias("session_id"), F.lit(float(t)).alias("t"), "x3", "y3", "z3") for t in (1, 4, 16)])
+        found = spectrum(a)
+        return stacked([g.layout(g.diffusion(found.vectors, found.values, t), ["x3", "y3", "z3"]).select(
+            F.col("id").alias("session_id"), F.lit(float(t)).alias("t"), "x3", "y3", "z3") for t in TIMES])
 
     return a.keep("layout_variants", build)
 

@@ -10,9 +10,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import vectors as v
 from ..operators import matrix
 from ..operators.components import connected_components
+from ..operators.hierarchy import leaf_clusters, spanning_forest
+from ..operators.knn import nearest_neighbours
 from ..operators.ordered import with_rank
 from ..operators.percentiles import exact_percentiles
+from ..operators.spectral import laplacian_eigenpairs
 from ..operators.topk import seeded_order, top_per_group
+from ..session import materialize
 from .phrases import log_odds
 
 SIGMA_NEIGHBOUR = 10
@@ -210,21 +214,51 @@ def diffusion(vectors: DataFrame, values: np.ndarray, t: int, dims: int = 32) ->
         "id", F.transform("c", lambda x: x / F.col("root")).alias("coords"))
 
 
-def density_clusters(nodes: DataFrame, knn: DataFrame, min_samples: int = 5, min_size: int = 10, quantile: float = 0.1) -> DataFrame:
-    """Dense groups: mutual reachability on neighbour edges, cut at a quantile, small groups are noise (-1)."""
-    core = knn.where(F.col("rank") == min_samples).select(F.col("src").alias("id"), F.col("dist").alias("core"))
-    reach = knn.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "dist").distinct().join(
-        core.select(F.col("id").alias("a"), F.col("core").alias("c1")), "a").join(
-        core.select(F.col("id").alias("b"), F.col("core").alias("c2")), "b").select(
-        "a", "b", F.greatest("dist", "c1", "c2").alias("reach"))
-    micro = (F.col("reach") * 1e9).cast("long")
-    cut = exact_percentiles(reach.withColumn("all", F.lit(0)), ["all"], micro, {"cut": quantile}, 1e9).select("cut").scalar()
-    dense = reach.withColumn("cut", cut).where(F.col("reach") <= F.col("cut"))
-    labels = connected_components(nodes, dense)
-    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    numbered = with_rank(sizes.where(F.col("size") >= min_size).withColumn("all", F.lit(0)), ["all"], [F.desc("size"), F.asc("component")], "place")
-    numbered = numbered.select("component", (F.col("place") - 1).alias("cluster_id"))
-    return labels.join(numbered, "component", "left").select("id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))
+def eigengap_number(values: np.ndarray, low: int = 8, high: int = 24) -> int:
+    """The k in low..high with the largest gap between the k-th and the next eigenvalue; the smallest of equal ones."""
+    ks = range(low, min(high, len(values) - 1) + 1)
+    return max(ks, key=lambda k: (values[k] - values[k - 1], -k), default=low)
+
+
+def sampled_spectrum(vectors: DataFrame, sample: int = 3000, neighbours: int = 15, count: int = 25, seed: int = 0) -> np.ndarray:
+    """Smallest Laplacian eigenvalues of the neighbour graph of a seeded sample of exactly ``sample`` rows (or all).
+
+    A pair of rows is linked if either is among the other's neighbours; the weight is the cosine, if positive.
+    """
+    ids = vectors.select("id").orderBy(*seeded_order(seed, "id")).limit(sample)
+    rows = materialize(vectors.select("id", "embedding").join(ids, "id", "left_semi"), "sample")
+    edges = materialize(knn_edges(nearest_neighbours(rows, neighbours), neighbours, mutual=False), "sample_edges")
+    return laplacian_eigenpairs(rows.select("id"), edges, k=count).values
+
+
+def reachability(knn: DataFrame, min_samples: int = 5) -> DataFrame:
+    """Edges (a, b, w): the larger of distance and both core distances (to the ``min_samples``-th row, itself included)."""
+    core = knn.where(F.col("rank") == max(min_samples - 1, 1)).select(F.col("src").alias("id"), F.col("dist").alias("core"))
+    pairs = knn.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "dist").distinct()
+    return pairs.join(core.select(F.col("id").alias("a"), F.col("core").alias("c1")), "a").join(
+        core.select(F.col("id").alias("b"), F.col("core").alias("c2")), "b").select("a", "b", F.greatest("dist", "c1", "c2").alias("w"))
+
+
+def density_tree(knn: DataFrame, min_samples: int = 5, min_size: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(spanning forest of mutual reachability, leaf members (id, core), leaf levels (core, level)).
+
+    Rows that are no neighbours of each other count as infinitely far, so each component has a tree of its own.
+    """
+    forest = spanning_forest(reachability(knn, min_samples))
+    return forest, *leaf_clusters(forest, min_size)
+
+
+def density_labels(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(id, cluster_id): leaf clusters numbered by size, noise is -1."""
+    sizes = leaves.groupBy("core").agg(F.count(F.lit(1)).alias("size")).withColumn("all", F.lit(0))
+    numbered = with_rank(sizes, ["all"], [F.desc("size"), F.asc("core")], "place").select("core", (F.col("place") - 1).alias("cluster_id"))
+    named = leaves.join(numbered, "core").select("id", "cluster_id")
+    return nodes.join(named, "id", "left").select("id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))
+
+
+def density_clusters(nodes: DataFrame, knn: DataFrame, min_samples: int = 5, min_size: int = 10) -> DataFrame:
+    """Dense groups: the leaf clusters of the mutual-reachability hierarchy, the rest is noise (-1)."""
+    return density_labels(nodes, density_tree(knn, min_samples, min_size)[1])
 
 
 def cluster_phrases(phrases: DataFrame, labels: DataFrame, min_count: int = 3, limit: int = 6) -> DataFrame:

@@ -15,6 +15,7 @@ from .raw import Tables, conform
 from .schemas import RAW
 
 EMAIL_HANDLE_OFFSET = 1_000_000_000
+ROWS_A_SLICE = 250_000
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,9 +76,12 @@ def raw_archive(spark: SparkSession, folder: str) -> Tables:
         peer.cast("string").alias("last_name"), F.lit(None).cast("string").alias("organization"))
     contact = contact.unionByName(stale)
 
+    # A small table may lie in one row group: its texts are dealt out by rows before the join multiplies them.
+    slices = max(spark.sparkContext.defaultParallelism, -(-events.count() // ROWS_A_SLICE))
+    texts = documents.select("doc_id", F.col("text").alias("doc_text")).repartition(slices, "doc_id")
     message = (
         events.withColumn("doc_id", F.pmod(F.col("event_id"), documents.agg(F.count(F.lit(1))).scalar()))
-        .join(documents.select("doc_id", F.col("text").alias("doc_text")), "doc_id")
+        .join(texts, "doc_id")
         .withColumn("said", F.when(kind == "purchase", F.lit(None)).otherwise(F.concat(
             "doc_text", F.when(kind == "click", " 😂").when(kind == "signup", " 🎉🎉").otherwise(""))))
     )

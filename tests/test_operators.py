@@ -90,7 +90,7 @@ def test_laplacian_of_two_joined_cliques(spark):
     d = w.sum(1)
     exact = np.sort(np.linalg.eigvalsh(np.eye(12) - w / np.sqrt(np.outer(d, d))))
     nodes = spark.createDataFrame([(i,) for i in ids], "id long")
-    values, vectors = laplacian_eigenpairs(nodes, spark.createDataFrame(edges, "a long, b long, w double"), k=2)
+    values, vectors, _residuals = laplacian_eigenpairs(nodes, spark.createDataFrame(edges, "a long, b long, w double"), k=2)
     assert np.allclose(values, exact[:2], atol=1e-6) and vectors.count() == 12
 
 
