@@ -15,9 +15,9 @@ from palaver.operators.percentiles import exact_percentiles
 from palaver.operators.spectral import laplacian_eigenpairs
 from palaver.plans import graph as g
 from palaver.session import materialize, shared_dir
-from palaver.sources.raw import write_artifacts
+from palaver.sources.published import append_result, current, publish, results
 
-from .base import Archive, r6, register, shape
+from .base import ORACLES, QUERIES, Archive, r6, register, shape
 from .oracle import FOLDED, STOP_LIST, TABLES
 from .persons import r
 from .sessions import (
@@ -660,7 +660,7 @@ def _(a: Archive):
 def community_rows(a: Archive):
     def build():
         out = []
-        coarser = None
+        coarser, above = None, None
         for gamma in (0.5, 1.0, 2.0, 4.0):
             found = at(a, gamma)
             rows = g.profiles(s_docs(a), found, MIN_COMMUNITY[gamma]).withColumn("gamma", F.lit(gamma))
@@ -668,11 +668,16 @@ def community_rows(a: Archive):
             rows = rows.join(up, "cluster_id", "left") if up is not None else rows.withColumn("parent_cluster_id", F.lit(None).cast("int"))
             words = g.cluster_phrases(s_phrases(a), found, limit=8).withColumn("gamma", F.lit(gamma))
             none = rows.select("gamma", "cluster_id", "size").where("false").withColumn("label", F.lit(""))
-            rows = g.label_communities(rows, none, words)
+            listed = words.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "phrase"))), lambda x: x["phrase"]).alias("phrases"))
+            central = g.snippets(g.central_members(s_vectors(a), found.join(rows.select("cluster_id"), "cluster_id", "left_semi")), s_texts(a), "disp_text", 420)
+            examples = central.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "snippet"))), lambda x: x["snippet"]).alias("examples"))
+            rows = g.label_communities(rows, none, words).join(listed, "cluster_id", "left").join(examples, "cluster_id", "left")
             out.append(materialize(rows.select(
-                "gamma", "cluster_id", "label", "size", "top_contacts", "years", "from_me_frac", "initiated_frac", "median_msgs",
+                "gamma", "cluster_id", "label", "size", F.coalesce("phrases", F.array().cast("array<string>")).alias("phrases"), "top_contacts", "years", "from_me_frac",
+                "initiated_frac", "median_msgs", F.coalesce("examples", F.array().cast("array<string>")).alias("examples"),
+                F.when(F.col("parent_cluster_id").isNotNull(), F.lit(above).cast("double")).alias("parent_gamma"),
                 F.col("parent_cluster_id").cast("int").alias("parent_cluster_id")), "profiles"))
-            coarser = found
+            coarser, above = found, gamma
         return stacked(out)
 
     return a.keep("semantic_communities", build)
@@ -680,7 +685,8 @@ def community_rows(a: Archive):
 
 @register("g32_community_list")
 def _(a: Archive):
-    rows = community_rows(a).withColumns({"top_contacts": F.to_json("top_contacts"), "years": F.to_json("years")})
+    rows = semantic_tables(a)["semantic_communities"]
+    rows = rows.withColumns({c: F.to_json(c) for c in ("phrases", "top_contacts", "years", "examples")})
     return rows.orderBy("gamma", F.desc("size"), "cluster_id")
 
 
@@ -725,22 +731,54 @@ def _(a: Archive):
 
 # ------------------------------------------------------------ artifact tables
 
+SWEEP_ROW = "k bigint, mutual boolean, giant_frac double, n_components bigint, median_degree double, isolated_frac double, top1pct_degree_share double, jaccard double"
+EXPERIMENTS = (  # experiment, title, what it compares, the query whose rows are its result
+    ("representation", "What a conversation vector should be", "Weighted mean of message vectors or the transcript's own, plain and debiased", "g28_representations"),
+    ("neighborhood", "Building the neighbour graph", "Number of neighbours, plain or mutual", "g26_sweep_table"),
+    ("weighting", "Weighting the edges", "Binary, cosine or adaptive weights", "g27_edge_weightings"),
+    ("laplacian", "Spectrum and diffusion", "Separation of the spectral clusters at several diffusion times", "g15_diffusion_silhouette"),
+    ("clustering", "Ways to cluster", "Communities, density clusters, k-means and spectral clusters", "g29_method_comparison"),
+)
+
+
+def experiment_results(a: Archive):
+    """Newest run of each experiment, read from the store; the first experiment ran twice."""
+    if "_experiments" not in a.__dict__:
+        folder = f"{shared_dir(a.spark)}/experiments-{uuid.uuid4().hex}"
+        for experiment, title, summary, query in (EXPERIMENTS[1], *EXPERIMENTS):
+            append_result(a.spark, folder, experiment, title, summary, QUERIES[query](a.spark, a.folder))
+        a.__dict__["_experiments"] = results(a.spark, folder)
+    return a.__dict__["_experiments"]
+
+
+def semantic_tables(a: Archive):
+    """The five tables of a semantic run, read back from their published set."""
+    if "_semantic" not in a.__dict__:
+        folder = f"{shared_dir(a.spark)}/semantic-{uuid.uuid4().hex}"
+        publish({"session_embeddings": transcript_vectors(a), "session_map": map_rows(a), "semantic_communities": community_rows(a),
+                 "session_layout_variants": layout_variants(a), "semantic_experiments": experiment_results(a)}, folder)
+        a.__dict__["_semantic"] = current(a.spark, folder)
+    return a.__dict__["_semantic"]
+
+
 @register("s8_semantic_artifacts")
 def _(a: Archive):
-    folder = f"{shared_dir(a.spark)}/semantic-{uuid.uuid4().hex}"
-    tables = {"session_embeddings": transcript_vectors(a), "session_map": map_rows(a), "semantic_communities": community_rows(a),
-              "session_layout_variants": layout_variants(a)}
-    write_artifacts(tables, folder)
-    return stacked([a.spark.read.parquet(f"{folder}/{name}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name in tables])
+    return stacked([table.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, table in semantic_tables(a).items()])
 
 
 @register("s10_experiment_results", """
-    WITH e AS (SELECT event_type AS experiment, min(ts) AS created_at, count(*) AS n, max(value) AS top FROM events GROUP BY 1)
-    SELECT experiment, n AS rows, round(top, 6) + 0.0 AS best, row_number() OVER (ORDER BY created_at) AS place FROM e""")
-def _(a: Archive):
-    """Results kept as JSON payloads, read back in order of creation with the payload spread into columns."""
-    stored = a.given("events").groupBy(F.col("event_type").alias("experiment")).agg(
-        F.min("ts").alias("created_at"), F.to_json(F.struct(F.count(F.lit(1)).alias("rows"), F.max("value").alias("best"))).alias("payload"))
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("created_at"))
-    rows = stored.withColumn("body", F.from_json("payload", "rows bigint, best double")).select("experiment", "body.rows", "body.best", place.alias("place"))
-    return shape(rows.orderBy("place"), experiment="s", rows="n", best="d", place="n")
+    SELECT * FROM (VALUES (1, 'representation', 4), (2, 'neighborhood', 10), (3, 'weighting', 3), (4, 'laplacian', 3), (5, 'clustering', 7)) AS t(place, experiment, rows)""")
+def _(a: Archive):
+    """Experiments in order of their newest run, with the number of result rows. (The repeated first run counts once.)"""
+    rows = experiment_results(a).groupBy(F.col("number").alias("place"), "experiment").agg(F.count(F.lit(1)).alias("rows"))
+    return rows.select(F.col("place").cast("int").alias("place"), "experiment", F.col("rows").cast("int").alias("rows")).orderBy("place")
+
+
+@register("s10_sweep_from_the_store")
+def _(a: Archive):
+    """The stored payload of the sweep, typed again."""
+    body = F.from_json("body", SWEEP_ROW).alias("b")
+    return experiment_results(a).where("experiment = 'neighborhood'").select(body).select("b.*")
+
+
+ORACLES["s10_sweep_from_the_store"] = ORACLES["g26_sweep_table"]

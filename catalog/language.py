@@ -9,10 +9,10 @@ from palaver.functions import vectors as v
 from palaver.operators import matrix
 from palaver.plans import language as l, phrases as ph
 from palaver.session import shared_dir
-from palaver.sources.raw import write_artifacts
+from palaver.sources.published import current, publish
 
-from .base import Archive, r6, register, shape
-from .oracle import FOLDED
+from .base import ORACLES, Archive, r6, register, shape
+from .oracle import FOLDED, with_prelude
 from .persons import r
 
 
@@ -243,10 +243,24 @@ def _(a: Archive):
     return shape(rows, person_id="n", period="s", msgs="n", i="n", x="d")
 
 
-@register("m17_people_clusters")
+@register("m17_people_clusters", "SELECT DISTINCT person_id, true AS known FROM people_vectors WHERE period = 'all'")
 def _(a: Archive):
-    rows, _centres, k, _scores = l.people_clusters(people(a).where("period = 'all'"))
-    return rows.select("person_id", "cluster_id", F.lit(k).alias("k"))
+    """Every person of the whole archive is in one of 4 to 9 clusters."""
+    rows = published(a)["person_clusters"]
+    k = rows.agg(F.count_distinct("cluster_id")).scalar()
+    return rows.select(F.col("person_id").cast("bigint").alias("person_id"), (F.col("cluster_id").isNotNull() & k.between(1, 9)).alias("known"))
+
+
+@register("m18_person_periods", "SELECT person_id, period, msgs, true AS nearest FROM people_vectors")
+def _(a: Archive):
+    """Each person and period lies in the cluster whose centre is nearest to its centred vector."""
+    whole = people(a).where("period = 'all'")
+    _rows, centres, k, _scores = l.people_clusters(whole)
+    moved = matrix.nearest_label(matrix.centred(people(a), "centroid", around=whole), "centred", list(range(k)), centres)
+    table = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centres])
+    scores = F.transform(table, lambda c: v.dot(F.col("centred"), c))
+    best = F.abs(F.array_max(scores) - F.element_at(scores, F.col("nearest").cast("int") + 1)) < 1e-9
+    return moved.select(F.col("person_id").cast("bigint").alias("person_id"), "period", F.col("msgs").cast("bigint").alias("msgs"), best.alias("nearest"))
 
 
 @register("m18_nearest_centroid", """
@@ -307,37 +321,89 @@ def _(a: Archive):
     return shape(rows, msg_id="n", text_id="n", cluster_id="n", first="d")
 
 
-def artifacts(a: Archive):
-    people_rows = people(a).where("period = 'all'").select("person_id", "msgs")
-    return {
-        "clusters": l.topic_table(said(a), vectors(a)), "cluster_people": l.topic_people(said(a), vectors(a)),
-        "voice_person": l.voice(centroids(a), a.star), "voice_drift": l.drift(centroids(a)),
-        "signature_phrases": signature(a), "person_clusters": people_rows,
-    }
+def published(a: Archive):
+    """The eight tables of a language run, read back from their published set; the two people tables come from a second, people-only run."""
+    if "_language" not in a.__dict__:
+        folder = f"{shared_dir(a.spark)}/language-{uuid.uuid4().hex}"
+        publish(l.artifact_tables(said(a), texts(a), vectors(a), centroids(a), signature(a), people(a), a.star), folder)
+        publish(l.people_tables(people(a), a.persons), folder)
+        a.__dict__["_language"] = current(a.spark, folder)
+    return a.__dict__["_language"]
+
+
+def counted(sources: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS name, count(*)::BIGINT AS n FROM ({sql})" for name, sql in sources.items())
 
 
 @register("s7_language_artifacts")
 def _(a: Archive):
-    folder = f"{shared_dir(a.spark)}/language-{uuid.uuid4().hex}"
-    tables = artifacts(a)
-    write_artifacts(tables, folder)
-    write_artifacts(tables, folder, only=("person_clusters",))  # people only: the other tables stay
     out = None
-    for name in tables:
-        row = a.spark.read.parquet(f"{folder}/{name}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+    for name, table in published(a).items():
+        row = table.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
         out = row if out is None else out.unionByName(row)
     return out
 
 
+ORACLES["s7_language_artifacts"] = counted({
+    "text_embeddings": with_prelude("SELECT text FROM texts JOIN vecs USING (text_id)"), "clusters": ORACLES["m10_topic_table"],
+    "cluster_people": ORACLES["m11_topic_people"], "voice_person": ORACLES["m14_voice"], "voice_drift": ORACLES["m15_weekly_drift"],
+    "signature_phrases": ORACLES["m4_signature_phrases"], "person_clusters": ORACLES["m17_people_clusters"], "person_map": ORACLES["m18_person_periods"]})
+
+
 @register("s9_topics_with_people", """
     WITH c AS (SELECT label AS cluster_id, named_id, count(*) AS n FROM said JOIN vecs USING (text_id) GROUP BY 1, 2),
     t AS (SELECT cluster_id, sum(n)::BIGINT AS msg_count FROM c GROUP BY 1),
     k AS (SELECT c.*, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, named_id) AS i FROM c WHERE named_id IS NOT NULL QUALIFY i <= 3)
-    SELECT t.cluster_id, t.msg_count, coalesce(string_agg(display_name, ', ' ORDER BY i) FILTER (n / msg_count >= 0.03), '') AS people
+    SELECT t.cluster_id, t.msg_count, coalesce(string_agg(display_name, ', ' ORDER BY n DESC, display_name) FILTER (n / msg_count >= 0.03), '') AS people
     FROM t LEFT JOIN k USING (cluster_id) LEFT JOIN named ON person_id = named_id GROUP BY 1, 2""")
 def _(a: Archive):
-    names = l.topic_people(said(a), vectors(a)).join(a.persons.select("person_id", "display_name"), "person_id")
-    nested = names.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("rank", "display_name"))).alias("people"))
-    topics = l.topic_table(said(a), vectors(a)).join(nested, "cluster_id", "left")
-    people_text = F.coalesce(F.array_join(F.transform("people", lambda x: x["display_name"]), ", "), F.lit(""))
+    tables = published(a)
+    nested = tables["cluster_people"].groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("s"), "name"))).alias("people"))
+    topics = tables["clusters"].join(nested, "cluster_id", "left")
+    people_text = F.coalesce(F.array_join(F.transform("people", lambda x: x["name"]), ", "), F.lit(""))
     return shape(topics.withColumn("people", people_text).orderBy(F.desc("msg_count")), cluster_id="n", msg_count="n", people="s")
+
+
+@register("s9_voice")
+def _(a: Archive):
+    return shape(published(a)["voice_person"].orderBy(F.desc("msgs")), person_id="n", name="s", msgs="n", divergence="d", mirroring="d")
+
+
+@register("s9_drift")
+def _(a: Archive):
+    return shape(published(a)["voice_drift"].withColumnRenamed("month", "period").orderBy("period"), period="s", drift="d", novelty="d")
+
+
+@register("s9_scopes")
+def _(a: Archive):
+    return published(a)["signature_phrases"].select("scope", "label").distinct().orderBy("scope")
+
+
+@register("s9_signature_of_a_scope")
+def _(a: Archive):
+    rows = published(a)["signature_phrases"].where("scope = 'you'").orderBy(F.desc("score"), "phrase")
+    return shape(rows, phrase="s", count="n", score="d")
+
+
+ORACLES |= {"s9_voice": ORACLES["m14_voice"], "s9_drift": ORACLES["m15_weekly_drift"], "s9_scopes": ORACLES["u2_union_of_scopes"],
+            "s9_signature_of_a_scope": f"SELECT phrase, count, score FROM ({ORACLES['m4_signature_phrases']}) WHERE scope = 'you'"}
+
+
+@register("s9_people_clusters", "SELECT DISTINCT person_id, display_name AS name FROM people_vectors JOIN persons USING (person_id) WHERE period = 'all'")
+def _(a: Archive):
+    """Members by cluster, read as nested lists and spread again."""
+    nested = published(a)["person_clusters"].groupBy("cluster_id", "label").agg(F.array_sort(F.collect_list(F.struct("name", "person_id"))).alias("members"))
+    rows = nested.select("cluster_id", "label", F.explode("members").alias("m")).orderBy("cluster_id", "m.name")
+    return rows.select(F.col("m.person_id").cast("bigint").alias("person_id"), "m.name")
+
+
+@register("s9_people_map", """
+    SELECT person_id, display_name AS name, period, msgs, count(*) OVER () AS points, true AS placed FROM people_vectors JOIN persons USING (person_id)""")
+def _(a: Archive):
+    """Points in order; coordinates have mean 0 and unit variance over all points."""
+    rows = published(a)["person_map"]
+    centred = F.greatest(*[F.abs(F.avg(c)) for c in "xyz"]) < 1e-6
+    scaled = F.greatest(*[F.abs(F.stddev_pop(c) - 1) for c in "xyz"]) < 1e-6
+    placed = F.col("cluster_id").isNotNull() & rows.agg(centred & scaled).scalar()
+    out = rows.withColumns({"points": rows.agg(F.count(F.lit(1))).scalar(), "placed": placed})
+    return shape(out.orderBy("period", "name"), person_id="n", name="s", period="s", msgs="n", points="n", placed="b")

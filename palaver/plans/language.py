@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import text as tx, timefn as tf, vectors as v
 from ..operators import matrix
 from ..operators.topk import top_per_group
+from ..session import materialize
 from ..sources.raw import Tables
 
 CONTENT_MIN_CHARS, CONTENT_MIN_WORDS = 18, 4
@@ -166,6 +167,35 @@ def people_map(people: DataFrame) -> DataFrame:
     return matrix.standardized_coordinates(matrix.centred(people, "centroid", around=around), "centred", ["x", "y", "z"])
 
 
+def people_tables(people: DataFrame, persons: DataFrame) -> Tables:
+    """person_clusters (of the whole archive) and person_map: coordinates and nearest cluster of every person and period."""
+    whole = people.where("period = 'all'")
+    _rows, centres, k, _scores = people_clusters(whole)
+    moved = matrix.nearest_label(matrix.centred(people, "centroid", around=whole), "centred", list(range(k)), centres)
+    placed = materialize(matrix.standardized_coordinates(moved, "centred", ["x", "y", "z"]).withColumnRenamed("nearest", "cluster_id"), "person_map")
+    names = persons.select("person_id", F.col("display_name").alias("name"))
+    placed = placed.join(names, "person_id").withColumn("cluster_id", F.col("cluster_id").cast("int"))
+    label = F.concat(F.lit("people "), (F.col("cluster_id") + 1).cast("string"))
+    return {"person_clusters": placed.where("period = 'all'").select("cluster_id", label.alias("label"), "person_id", "name"),
+            "person_map": placed.select("person_id", "name", "period", "x", "y", "z", "cluster_id", "msgs")}
+
+
+def artifact_tables(said: DataFrame, texts: DataFrame, vectors: DataFrame, centroids: DataFrame, signature: DataFrame, people: DataFrame, star: Tables) -> Tables:
+    """The eight tables of a language run. ``vectors``: text_id, total, mine, embedding, cluster_id."""
+    first = representative_texts(texts, vectors.select("text_id", "cluster_id"), 1).join(texts.select("text_id", "text"), "text_id").select(
+        "cluster_id", F.left("text", F.lit(60)).alias("label"))
+    names = star["persons"].select("person_id", F.col("display_name").alias("name"))
+    return {
+        "text_embeddings": vectors.join(texts.select("text_id", "text"), "text_id").select("text", "total", "mine", "cluster_id", "embedding"),
+        "clusters": topic_table(said, vectors).join(first, "cluster_id", "left").select("cluster_id", "label", "msg_count", "share"),
+        "cluster_people": topic_people(said, vectors).join(names, "person_id").select("cluster_id", "name", "share"),
+        "voice_person": voice(centroids, star),
+        "voice_drift": drift(centroids).withColumnRenamed("period", "month"),
+        "signature_phrases": signature.select("scope", "label", "phrase", "count", "score"),
+        **people_tables(people, star["persons"]),
+    }
+
+
 def search(vectors: DataFrame, query: DataFrame, k: int = 12) -> DataFrame:
     """Texts closest to a one-row query vector."""
     rows = vectors.withColumn("target", query.scalar())

@@ -79,9 +79,3 @@ def read_star(spark: SparkSession, folder: str, names: tuple[str, ...] = tuple(S
         out[name] = spark.read.schema(schema).parquet(f"{folder}/{name}")
     return out
 
-
-def write_artifacts(artifacts: Tables, folder: str, only: tuple[str, ...] = ()) -> None:
-    """Replace artifact tables; ``only`` restricts the rebuild to the named ones."""
-    for name, df in artifacts.items():
-        if not only or name in only:
-            df.write.mode("overwrite").parquet(f"{folder}/{name}")
