@@ -21,7 +21,7 @@ def neighbour_graph(n, seed):
     return [(i, j, x) for (i, j), x in w.items()], np.eye(n) - a * s[:, None] * s
 
 
-@pytest.mark.parametrize("n, k, limits", [(200, 64, {}), (120, 12, {"block": 8, "basis": 40}), (9, 64, {})])
+@pytest.mark.parametrize("n, k, limits", [(200, 64, {}), (48, 5, {"block": 5, "basis": 20})])
 def test_equal_to_dense_eigenpairs(spark, n, k, limits):
     edges, dense = neighbour_graph(n, n)
     found = laplacian_eigenpairs(spark.range(n), spark.createDataFrame(edges, "a long, b long, w double"), k, **limits)
