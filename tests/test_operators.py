@@ -112,3 +112,18 @@ def test_log_odds_ranks_distinctive_phrases_first(spark):
     got = [(r["phrase"], r["score"]) for r in log_odds_within(counts, "s", 1).where("scope = 't'").orderBy("rank").collect()]
     assert got[0][0] == "womp womp" and got[0][1] > 0 > got[1][1]
     assert log_odds_within(counts, "s", 11).where("scope = 't'").count() == 0
+
+
+def test_communities_do_not_depend_on_the_graphs_beside_them(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for name, n, weight in (("small", 18, 1e-3), ("large", 60, 1e4)):
+        for i in range(n):
+            for j in range(i):
+                if (i // 6 == j // 6 and rng.random() < 0.8) or rng.random() < 0.05:
+                    rows.append((name, i, j, weight * float(rng.random() + 0.5)))
+    edges = spark.createDataFrame(rows, "graph string, a long, b long, w double")
+    nodes = edges.select("graph", F.col("a").alias("id")).unionByName(edges.select("graph", F.col("b").alias("id"))).distinct()
+    both = communities(nodes, edges, (1.0,)).where("graph = 'small'")
+    alone = communities(nodes.where("graph = 'small'"), edges.where("graph = 'small'"), (1.0,))
+    assert sorted((r.id, r.cluster_id) for r in both.collect()) == sorted((r.id, r.cluster_id) for r in alone.collect())
