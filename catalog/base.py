@@ -48,7 +48,7 @@ class Archive:
         return ingest.publish_star(self.raw, f"{shared_dir(self.spark)}/star-{uuid.uuid4().hex}")
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in ("persons", "handles", "chats", "chat_members", "messages", "tapbacks", "attachments", "emoji_uses"):
+        if name in ("persons", "handles", "chats", "chat_members", "messages", "tapbacks", "attachments", "emoji_uses", "word_uses"):
             return self.star[name]
         raise AttributeError(name)
 

@@ -80,6 +80,7 @@ def _(a: Archive):
     UNION ALL SELECT 'chats', count(*) FROM chats UNION ALL SELECT 'chat_members', count(*) FROM chat_members
     UNION ALL SELECT 'tapbacks', count(*) FROM tapbacks UNION ALL SELECT 'attachments', count(*) FROM attachments
     UNION ALL SELECT 'emoji_uses', count(*) FROM emoji_uses
+    UNION ALL SELECT 'word_uses', count(*) FROM (SELECT DISTINCT chat_id, person_id, is_from_me, strftime(ts_local, '%Y') AS year, word FROM words)
     UNION ALL SELECT 'handles', count(*) + count(*) FILTER (peer % 13 <> 0 AND peer % 4 = 0) FROM people""")
 def _(a: Archive):
     folder = f"{shared_dir(a.spark)}/copy-{uuid.uuid4().hex}"

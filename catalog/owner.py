@@ -34,7 +34,7 @@ def _(a: Archive):
 @register("q15_owner_top_words", """
     SELECT word, count(*) AS count FROM words WHERE is_from_me GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15""")
 def _(a: Archive):
-    return shape(o.top_words(a.messages), word="s", count="n")
+    return shape(o.top_words(a.word_uses), word="s", count="n")
 
 
 @register("q16_owner_repeated_sentences", """
@@ -91,7 +91,7 @@ def _(a: Archive):
            row_number() OVER (PARTITION BY strftime(ts_local, '%Y') ORDER BY count(*) DESC, word) AS rank
     FROM words WHERE is_from_me GROUP BY 1, 2 QUALIFY rank <= 8""")
 def _(a: Archive):
-    return shape(o.vernacular_timeline(a.messages), year="s", word="s", count="n", rank="n")
+    return shape(o.vernacular_timeline(a.word_uses), year="s", word="s", count="n", rank="n")
 
 
 @register("q23_owner_calendar", f"""

@@ -320,15 +320,15 @@ def _(a: Archive):
     SELECT chat_id, word, count(*) AS n, row_number() OVER (PARTITION BY chat_id ORDER BY count(*) DESC, word) AS rank FROM words
     GROUP BY 1, 2 QUALIFY rank <= 3""")
 def _(a: Archive):
-    counts = common.word_rows(a.messages, "chat_id").groupBy("chat_id", "word").agg(n())
+    counts = a.word_uses.groupBy("chat_id", "word").agg(F.sum("count").alias("n"))
     return shape(top_per_group(counts, ["chat_id"], [F.desc("n"), F.asc("word")], 3), chat_id="n", word="s", n="n", rank="n")
 
 
 @register("a15_multiset_difference", """
     SELECT word, count(*) - count(*) FILTER (is_from_me) AS n FROM words GROUP BY 1 HAVING count(*) > count(*) FILTER (is_from_me)""")
 def _(a: Archive):
-    counts = common.word_rows(a.messages, "is_from_me").groupBy("word").agg(n("all"), F.count_if(common.mine()).alias("own"))
-    return counts.select("word", (F.col("all") - F.col("own")).alias("n")).where("n > 0")
+    counts = a.word_uses.groupBy("word").agg(F.sum(F.when(~common.mine(), F.col("count"))).alias("n"))
+    return shape(counts.where("n > 0"), word="s", n="n")
 
 
 # ---------------------------------------------------------------- windows

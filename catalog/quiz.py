@@ -3,9 +3,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palaver.plans import quiz as z
+from palaver.plans import language as l, quiz as z
 
 from .base import Archive, register, shape
+from .language import texts, vectors
 from .oracle import TABLES
 from .persons import bucket, r
 
@@ -119,6 +120,52 @@ def _(a: Archive):
     return z.length_matched(a.star, replies(a), seed=5).select("reply_id").distinct()
 
 
+REPLIES = """
+    o AS (SELECT *, trim(text) AS t, lag(is_from_me) OVER w AS pm, lag(session_id) OVER w AS ps,
+                 row_number() OVER (PARTITION BY chat_id, session_id ORDER BY ts_utc, msg_id) AS srn
+          FROM direct_texts WINDOW w AS (PARTITION BY chat_id ORDER BY ts_utc, msg_id)),
+    c AS (SELECT * FROM o WHERE is_from_me AND length(t) >= 8 AND NOT pm AND ps = session_id AND srn >= 5 AND person_id IN (SELECT person_id FROM eligible))"""
+CLOSE = f"""
+    WITH {REPLIES},
+    asked AS (SELECT DISTINCT x.text_id AS asked, x.text, v.embedding FROM c JOIN texts x ON x.text = c.t JOIN vecs v USING (text_id)),
+    own AS (SELECT text_id, text, embedding FROM texts JOIN vecs USING (text_id) WHERE mine > 0),
+    best AS (SELECT asked, w.text_id, lower(w.text) AS folded, round(list_cosine_similarity(w.embedding, a.embedding), 9) AS sim
+             FROM asked a JOIN own w ON length(w.text) BETWEEN floor(length(a.text) * 0.5::DOUBLE) AND floor(length(a.text) * 2.0::DOUBLE) + 1
+               AND lower(w.text) <> lower(a.text)
+             QUALIFY row_number() OVER (PARTITION BY asked ORDER BY sim DESC, w.text_id) <= 40),
+    single AS (SELECT * FROM best WHERE sim < 0.95 QUALIFY row_number() OVER (PARTITION BY asked, folded ORDER BY sim DESC, text_id) = 1),
+    closest AS (SELECT * FROM single QUALIFY row_number() OVER (PARTITION BY asked ORDER BY sim DESC, text_id) <= 25),
+    enough AS (SELECT asked FROM closest GROUP BY 1 HAVING count(*) >= 3),
+    met AS (SELECT c.msg_id AS reply_id, n.text_id, n.sim FROM c JOIN texts x ON x.text = c.t JOIN enough e ON e.asked = x.text_id JOIN closest n USING (asked)),
+    drawn AS (SELECT *, row_number() OVER (PARTITION BY reply_id ORDER BY md5('5,' || reply_id || ',' || text_id), reply_id, text_id) AS rank
+              FROM met QUALIFY rank <= 3)"""
+
+
+@register("z4_similar_replies", CLOSE + """
+    SELECT asked AS reply_id, text_id, round(sim, 6) + 0.0 AS similarity, row_number() OVER (PARTITION BY asked ORDER BY sim DESC, text_id) AS rank FROM best""")
+def _(a: Archive):
+    asked = texts(a).withColumn("said", F.md5("text")).join(replies(a).select(F.md5("reply").alias("said")).distinct(), "said", "left_semi")
+    return shape(l.similar_replies_each(texts(a), vectors(a), asked), reply_id="n", text_id="n", similarity="d", rank="n")
+
+
+@register("z4_meaning_matched_distractors", CLOSE + " SELECT reply_id, text_id, round(sim, 6) + 0.0 AS similarity, rank FROM drawn")
+def _(a: Archive):
+    return shape(z.meaning_matched(replies(a), texts(a), vectors(a), seed=5), reply_id="n", text_id="n", similarity="d", rank="n")
+
+
+@register("z4_distractor_sources", CLOSE + """,
+    pool AS (SELECT DISTINCT chat_id, lower(trim(text)) AS f, min(length(trim(text))) OVER (PARTITION BY chat_id, lower(trim(text))) AS len
+             FROM messages WHERE is_from_me AND length(trim(text)) > 0),
+    fallback AS (SELECT c.msg_id AS reply_id FROM c JOIN pool p ON p.chat_id <> c.chat_id AND p.f <> lower(c.t)
+                   AND p.len BETWEEN floor(length(c.t) * 0.6::DOUBLE) AND floor(length(c.t) * 1.4::DOUBLE) + 1
+                 WHERE c.msg_id NOT IN (SELECT reply_id FROM drawn) GROUP BY 1 HAVING count(DISTINCT p.f) >= 3)
+    SELECT DISTINCT reply_id, 'meaning' AS source, 3::BIGINT AS options FROM drawn
+    UNION ALL SELECT reply_id, 'length', 3 FROM fallback""")
+def _(a: Archive):
+    rows = z.distractors(a.star, replies(a), texts(a), vectors(a), seed=5)
+    return shape(rows.groupBy("reply_id", "source").agg(F.count(F.lit(1)).alias("options")), reply_id="n", source="s", options="n")
+
+
 @register("z5_which_group_windows", windows_sql(
     """SELECT * FROM messages WHERE text IS NOT NULL AND chat_id IN (
          SELECT chat_id FROM messages JOIN chats USING (chat_id) WHERE is_group AND text IS NOT NULL AND length(trim(name)) > 0

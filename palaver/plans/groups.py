@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text as tx, timefn as tf
 from ..operators.topk import top_per_group
 from ..sources.raw import Tables
-from .common import mine, reaction_targets, word_rows
+from .common import mine, reaction_targets
 
 OWNER = 0
 
@@ -86,8 +86,8 @@ def member_stats(star: Tables) -> DataFrame:
 
 
 def member_words(star: Tables, k: int = 10) -> DataFrame:
-    counts = word_rows(group_messages(star), "chat_id", "member_id").groupBy("chat_id", "member_id", "word").agg(
-        F.count(F.lit(1)).alias("count"))
+    uses = star["word_uses"].join(groups(star).select("chat_id"), "chat_id", "left_semi")
+    counts = uses.groupBy("chat_id", member_of(mine(), F.col("person_id")).alias("member_id"), "word").agg(F.sum("count").alias("count"))
     return top_per_group(counts, ["chat_id", "member_id"], [F.desc("count"), F.asc("word")], k)
 
 

@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as tx
 from ..functions.body import body_text
-from ..functions.timefn import local_time, micros, source_time
+from ..functions.timefn import local_time, micros, source_time, year_label
 from ..operators.ordered import SLICE, with_day_slice, with_dense_id, with_previous, with_running_sum
 from ..sources.raw import (
     Tables, attachment_scan, contact_names, message_scan, override_names, read_star, write_star,
 )
+from .common import word_rows
 
 # Reaction codes and the conversation style that marks a group.
 REACTIONS = {2000: "love", 2001: "like", 2002: "dislike", 2003: "laugh", 2004: "emphasize", 2005: "question"}
@@ -165,7 +166,8 @@ def publish_star(raw: Tables, folder: str, zone: str = "UTC") -> Tables:
     dims = read_star(spark, folder, ("persons", "handles", "chat_members", "chats"))
     write_star({"messages": derived_messages(raw, dims, zone), "tapbacks": derived_tapbacks(raw, dims),
                 "attachments": attachment_scan(raw)}, folder)
-    write_star({"emoji_uses": emoji_uses(read_star(spark, folder, ("messages",))["messages"])}, folder)
+    messages = read_star(spark, folder, ("messages",))["messages"]
+    write_star({"emoji_uses": emoji_uses(messages), "word_uses": word_uses(messages)}, folder)
     return read_star(spark, folder)
 
 
@@ -174,6 +176,17 @@ def emoji_uses(messages: DataFrame) -> DataFrame:
     return messages.where("emoji_count > 0").select("msg_id", F.explode(tx.emojis(F.col("text"))).alias("emoji"))
 
 
+def word_uses(messages: DataFrame) -> DataFrame:
+    """How often each vocabulary word is used, per conversation, author, side and year.
+
+    The only place where the texts of an archive are split into vocabulary words: a task counts
+    its own words first, so what is shuffled are counts.
+    """
+    keys = ["chat_id", "person_id", "is_from_me", "year"]
+    return word_rows(messages.withColumn("year", year_label(F.col("ts_local"))), *keys).groupBy(*keys, "word").agg(
+        F.count(F.lit(1)).alias("count"))
+
+
 def ingest_summary(raw: Tables) -> DataFrame:
     """Number of real messages and of conversations."""
     messages = raw["message"].agg(F.count_if(

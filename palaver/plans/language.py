@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as tx, timefn as tf, vectors as v
-from ..operators import matrix
+from ..operators import banded, matrix
 from ..operators.topk import top_per_group
 from ..session import materialize
 from ..sources.raw import Tables
@@ -217,3 +217,22 @@ def similar_replies(texts: DataFrame, vectors: DataFrame, reply_id: int, near: f
     unique = top_per_group(best.where(F.col("similarity") < near).withColumn("folded", F.lower("text")), ["folded"],
                            [F.desc("similarity"), F.asc("text_id")], 1)
     return unique.select("text_id", "text", "similarity").orderBy(F.desc("similarity"), "text_id").limit(k)
+
+
+def similar_replies_each(texts: DataFrame, vectors: DataFrame, replies: DataFrame, pool: int = 40) -> DataFrame:
+    """(reply_id, text_id, twin, similarity, rank): for every reply the own texts closest in meaning.
+
+    ``replies``: text_id of each reply, repeats allowed. Candidates are own texts of half to twice
+    the length (as ``similar_replies``) that differ from the reply by more than case; ``twin`` is
+    the first id of the texts equal but for case. Replies without a vector get no rows.
+    """
+    own = texts.select("text_id", F.md5(F.lower("text")).alias("folded"), F.char_length("text").cast("long").alias("size"), "mine")
+    first = own.groupBy("folded").agg(F.min("text_id").alias("twin"))
+    named = materialize(own.join(first, "folded").drop("folded").join(vectors.select("text_id", "embedding"), "text_id"), "own_texts")
+    half, twice = F.floor(F.col("size") * 0.5), F.floor(F.col("size") * 2.0) + 1
+    queries = named.join(replies.select("text_id").distinct(), "text_id", "left_semi").select(
+        F.col("text_id").alias("query"), "embedding", half.alias("low"), twice.alias("high"), "twin")
+    items = named.where("mine > 0").select(F.col("text_id").alias("item"), "embedding", "size", "twin")
+    best = banded.most_similar_in_band(queries, items, pool)
+    return best.join(named.select(F.col("text_id").alias("item"), "twin"), "item").select(
+        F.col("query").alias("reply_id"), F.col("item").alias("text_id"), "twin", "similarity", "rank")

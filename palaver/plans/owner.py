@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import text as tx, timefn as tf
 from ..operators.topk import top_per_group
 from ..sources.raw import Tables
-from .common import block_facts, mine, sent_received, word_rows
+from .common import block_facts, mine, sent_received
 
 
 def overview_series(messages: DataFrame, unit: str = "month") -> DataFrame:
@@ -25,8 +25,8 @@ def totals(star: Tables) -> DataFrame:
         F.coalesce(F.sum(F.when(~F.col("is_group"), n)), F.lit(0)).alias("sent_in_dms"))
 
 
-def top_words(messages: DataFrame, k: int = 15) -> DataFrame:
-    return word_rows(messages.where(mine())).groupBy("word").agg(F.count(F.lit(1)).alias("count")).orderBy(
+def top_words(word_uses: DataFrame, k: int = 15) -> DataFrame:
+    return word_uses.where(mine()).groupBy("word").agg(F.sum("count").alias("count")).orderBy(
         F.desc("count"), "word").limit(k)
 
 
@@ -81,9 +81,8 @@ def word_context(messages: DataFrame, word: str, k: int = 5) -> DataFrame:
     )
 
 
-def vernacular_timeline(messages: DataFrame, k: int = 8) -> DataFrame:
-    words = word_rows(messages.where(mine()).withColumn("year", tf.year_label(F.col("ts_local"))), "year")
-    counts = words.groupBy("year", "word").agg(F.count(F.lit(1)).alias("count"))
+def vernacular_timeline(word_uses: DataFrame, k: int = 8) -> DataFrame:
+    counts = word_uses.where(mine()).groupBy("year", "word").agg(F.sum("count").alias("count"))
     return top_per_group(counts, ["year"], [F.desc("count"), F.asc("word")], k)
 
 

@@ -12,7 +12,7 @@ from ..operators.topk import top_per_group
 from ..sources.raw import Tables
 from .common import (
     block_facts, direct_contacts, mine, rate, reaction_targets, reply_percentiles, sent_received,
-    session_facts, word_rows,
+    session_facts,
 )
 
 def known_name() -> Column:
@@ -169,8 +169,7 @@ def person_stats(star: Tables, flow: DataFrame) -> DataFrame:
 
 def top_words(star: Tables, k: int = 10) -> DataFrame:
     """Most used words per person and side."""
-    counts = word_rows(star["messages"], "chat_id", "is_from_me").groupBy("chat_id", "is_from_me", "word").agg(
-        F.count(F.lit(1)).alias("n"))
+    counts = star["word_uses"].groupBy("chat_id", "is_from_me", "word").agg(F.sum("count").alias("n"))
     counts = counts.join(contacts_of(star), "chat_id").groupBy("person_id", "is_from_me", "word").agg(
         F.sum("n").alias("count"))
     return top_per_group(counts, ["person_id", "is_from_me"], [F.desc("count"), F.asc("word")], k)

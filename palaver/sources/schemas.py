@@ -44,4 +44,5 @@ STAR = {
     "tapbacks": _schema(target_guid=_str, person_id=_int, is_from_me=_bool, kind=_str, ts_utc=_ts),
     "attachments": _schema(msg_id=_long, mime_type=_str, total_bytes=_long),
     "emoji_uses": _schema(msg_id=_long, emoji=_str),
+    "word_uses": _schema(chat_id=_int, person_id=_int, is_from_me=_bool, year=_str, word=_str, count=_long),
 }
