@@ -13,7 +13,9 @@ overlapping ones the one with the least p-value.
 
 Defined cases: null and empty texts have no spans; base spans are cut out
 of runs and the rest is tested; runs shaped like one word (letters, at most the first a capital) or one
-number are never candidates; repeated rows count as often as they occur; other columns
+number are never candidates; of spans with equal p-values the longer, then the earlier stays; a very
+long text is scanned in one pass, in time linear in its length but for the logarithm of its number of
+base spans (a text lies in one task); repeated rows count as often as they occur; other columns
 are not looked at.
 """
 from __future__ import annotations
@@ -22,6 +24,7 @@ import bisect
 import math
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -130,11 +133,19 @@ def battery(symbols: np.ndarray, k: int) -> tuple[float, float, float]:
     return chi, runs, serial
 
 
-def _between(start: int, stop: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """What the base spans (in order) leave of a run."""
+def _reach(base: list[tuple[int, int, int]]) -> list[int]:
+    """How far the base spans reach, up to and with each of them; never falls, so a place in it is found by halving."""
+    return list(accumulate((e for _, _, e in base), max))
+
+
+def _between(start: int, stop: int, base: list[tuple[int, int, int]], reach: list[int]) -> list[tuple[int, int]]:
+    """What the base spans (in order) leave of a run; only the spans that meet the run are looked at."""
     out, at = [], start
-    for s, _, e in base:
-        if s < stop and e > at:
+    for i in range(bisect.bisect_right(reach, start), len(base)):
+        s, _, e = base[i]
+        if s >= stop:
+            break
+        if e > at:
             out.append((at, s))
             at = e
     return [(a, b) for a, b in [*out, (at, stop)] if b - a >= LEAST]
@@ -148,8 +159,9 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             text = text or ""
             hist += np.bincount(np.minimum(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), HIST), minlength=HIST + 1)[:HIST]
             base, found = base_spans(text), []
+            reach = _reach(base)
             for m in RUN.finditer(text):
-                for left, right in _between(*m.span(), base):
+                for left, right in _between(*m.span(), base, reach):
                     for s, e, run in candidates(text, left, right):
                         name = encoding_of(run)
                         if name:

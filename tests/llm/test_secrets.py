@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 
@@ -90,3 +91,37 @@ def test_keys_beside_words_in_groups_and_beside_base_spans_are_found(spark):
         covered = {n for x in inside for n in range(*map(int, x.split(":")[1:]))}
         assert len(covered & set(range(t.index(want), t.index(want) + len(want)))) >= 0.8 * len(want), (i, spans[i], t)
     assert all("random:" not in spans[i] for i in range(20, 50))
+
+
+def test_what_base_spans_leave_equals_brute_force():
+    rng = random.Random(2)
+    for _ in range(300):
+        base = sorted((s, 0, s + rng.randrange(1, 40)) for s in (rng.randrange(300) for _ in range(rng.randrange(8))))
+        start = rng.randrange(300)
+        stop = start + rng.randrange(16, 120)
+        free = [i for i in range(start, stop) if not any(s <= i < e for s, _, e in base)]
+        want = [(a, b) for a, b in runs_of(free) if b - a >= secrets.LEAST]
+        assert secrets._between(start, stop, base, secrets._reach(base)) == want
+
+
+def runs_of(numbers):
+    out = []
+    for i in numbers:
+        if out and out[-1][1] == i:
+            out[-1][1] = i + 1
+        else:
+            out.append([i, i + 1])
+    return [tuple(x) for x in out]
+
+
+def test_a_long_list_of_credentials_takes_linear_time():
+    """40,000 pairs are eight times 5,000; looking at all base spans for every run would cost 64 times as much."""
+    def seconds(n):
+        words = " ".join(f"token={i:08x}Zq/{random_key(i, 24)}" for i in range(n))
+        base = secrets.base_spans(words)
+        reach, start = secrets._reach(base), time.perf_counter()
+        for m in secrets.RUN.finditer(words):
+            secrets._between(*m.span(), base, reach)
+        return time.perf_counter() - start
+
+    assert seconds(40_000) < 24 * max(seconds(5_000), 1e-3)
