@@ -7,23 +7,28 @@ expectation-maximisation estimates the proportions, and languages are dropped on
 one while the penalised likelihood improves. The language with the largest proportion
 is the answer, its proportion the score.
 
-Defined cases: a null text or one without a letter is ``und`` with score 0; without any
-labelled row everything is ``und``; ties go to the smaller language value; repeated rows
+The model is languages x ``BUCKETS`` numbers on every worker, so the label column may hold at most
+``MOST_LANGUAGES`` values; more are an error, not a cut.
+
+Defined cases: a null text or one without a letter (Unicode category L; digits, superscripts,
+fractions and circled numbers are none) is ``und`` with score 0; a very long text is counted
+whole, in memory of its own size; without any labelled row everything is ``und``; ties go to the smaller language value; repeated rows
 are predicted alike; other columns are not looked at.
 """
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, functions as F
 
 
 BUCKETS = 1 << 15
-LETTER = re.compile(r"[^\W\d_]")
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+LETTER = regex.compile(r"\p{L}")
+NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")  # marks belong to the letters of Indic and vocalised scripts
+MOST_LANGUAGES = 1000
 
 
 def ngrams(text: str, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -100,9 +105,11 @@ class Model:
 def fit(labelled: DataFrame, rows_each: int = 2000, seed: int = 5) -> Model | None:
     """Model from labelled rows (text, lang). Sample: about ``rows_each`` different texts of each language, by a seeded hash, or all if it has fewer; a text counts once, however many copies there are."""
     code = F.xxhash64("text", F.lit(seed))
-    sizes = labelled.groupBy("lang").agg(F.countDistinct(code).alias("n")).collect()  # a row per language, as many as the model has
+    sizes = labelled.groupBy("lang").agg(F.countDistinct(code).alias("n")).limit(MOST_LANGUAGES + 1).collect()
     if not sizes:
         return None
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages among the labels")
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], rows_each / r["n"])])
     part = F.pmod(code, F.lit(1 << 30)) / float(1 << 30)
     chosen = labelled.where(part < share[F.col("lang")]).select("lang", "text").distinct()

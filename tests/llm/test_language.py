@@ -1,6 +1,10 @@
+import itertools
 import random
 import zlib
 
+import numpy as np
+import pytest
+
 from palaver.llm import language
 
 from .helpers import ODD, docs
@@ -53,3 +57,45 @@ def test_copies_neither_hide_a_language_nor_fill_the_sample(spark):
     df = docs(spark, [(i + 10000 * n, t, lang, s) for n, (i, t, lang, s) in enumerate(rows)])
     model = language.fit(df.select("text", "lang"), rows_each=5)
     assert model.languages == ["aa", "bb", "cc"]
+
+
+def exhaustive(model, words, penalty=12.0):
+    """Best set of languages of all sets by penalised likelihood, each fitted by plain EM."""
+    buckets, counts = language.ngrams(words)
+    p, n = model.probability[buckets], counts.sum()
+    best = None
+    for size in range(1, len(model.languages) + 1):
+        for chosen in itertools.combinations(range(len(model.languages)), size):
+            shares = np.full(size, 1 / size)
+            for _ in range(300):
+                joint = p[:, chosen] * shares
+                shares = (counts[:, None] * joint / joint.sum(1, keepdims=True)).sum(0) / n
+            value = counts @ np.log(p[:, chosen] @ shares) - size * penalty * 0.5 * np.log(n)
+            if best is None or value > best[0]:
+                best = value, dict(zip(chosen, shares))
+    return best[1]
+
+
+def test_inference_equals_exhaustive_choice_of_languages(spark):
+    df = table(spark)
+    model = language.fit(df.where("lang in ('aa', 'bb', 'cc', 'dd') and text is not null").select("text", "lang"))
+    mixes = [{"aa": 60}, {"dd": 5}, {"aa": 100, "cc": 100}, {"bb": 200, "dd": 60}, {"aa": 90, "bb": 90, "cc": 90}, {"aa": 80, "bb": 80, "cc": 80, "dd": 80}]
+    for seed, mix in enumerate(mixes):
+        words = " ".join(text(lang, n, 70 + seed) for lang, n in mix.items())
+        shares, want = model.infer(words), exhaustive(model, words)
+        assert set(np.flatnonzero(shares)) == set(want), mix
+        assert all(abs(shares[i] - share) < 0.02 for i, share in want.items())
+
+
+def test_letters_are_category_l_and_marks_stay_in_words(spark):
+    rows = [(1, "\u00b2 \u00bd \u2460 \u2167 12 _", None, "s"), (2, "\u00b2 ich", None, "s"), (3, "ich ver", "bb", "s"), (4, "ung ein", "bb", "s"), (5, "the on", "aa", "s"), (6, "ing ou", "aa", "s"), (7, "\u0301\u0902", None, "s")]
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs(spark, rows)).collect()}
+    assert got[1] == got[7] == "und" and got[2] != "und"
+    word = "\u0939\u093f\u0928\u094d\u0926\u0940"
+    assert language.NOT_LETTERS.sub(" ", word) == word
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 3)
+    with pytest.raises(ValueError):
+        language.fit(table(spark).select("text", "lang").where("lang is not null and text is not null"))
