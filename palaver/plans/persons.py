@@ -169,9 +169,8 @@ def person_stats(star: Tables, flow: DataFrame) -> DataFrame:
 
 def top_words(star: Tables, k: int = 10) -> DataFrame:
     """Most used words per person and side."""
-    counts = star["word_uses"].groupBy("chat_id", "is_from_me", "word").agg(F.sum("count").alias("n"))
-    counts = counts.join(contacts_of(star), "chat_id").groupBy("person_id", "is_from_me", "word").agg(
-        F.sum("n").alias("count"))
+    uses = star["word_uses"].select("chat_id", "is_from_me", "word", "count")
+    counts = uses.join(contacts_of(star), "chat_id").groupBy("person_id", "is_from_me", "word").agg(F.sum("count").alias("count"))
     return top_per_group(counts, ["person_id", "is_from_me"], [F.desc("count"), F.asc("word")], k)
 
 
