@@ -5,7 +5,7 @@ from pyspark.sql import Window, functions as F
 
 from palaver.functions import text as tx, timefn as tf, vectors as v
 from palaver.operators.bands import blocks_of, cover_of
-from palaver.operators.ordered import with_day_slice, with_previous, with_running_sum
+from palaver.operators.ordered import with_even_slice, with_previous, with_running_sum
 from palaver.operators.percentiles import exact_percentiles
 from palaver.operators.topk import seeded_sample, top_per_group
 from palaver.plans import common, groups as g, persons as p
@@ -337,8 +337,9 @@ def _(a: Archive):
     SELECT msg_id, coalesce(lag(is_from_me) OVER w, false) AS prev_mine, coalesce(lag(session_id) OVER w, '') AS prev_session
     FROM messages WINDOW w AS (PARTITION BY chat_id ORDER BY ts_utc, msg_id)""")
 def _(a: Archive):
-    rows = with_previous(with_day_slice(a.messages.select("msg_id", "chat_id", "ts_utc", "is_from_me", "session_id"), "ts_utc"),
-                         ["chat_id"], ["ts_utc", "msg_id"], ["is_from_me", "session_id"])
+    order = ["ts_utc", "msg_id"]
+    rows = with_even_slice(a.messages.select("msg_id", "chat_id", "ts_utc", "is_from_me", "session_id"), ["chat_id"], order)
+    rows = with_previous(rows, ["chat_id"], order, ["is_from_me", "session_id"])
     return rows.select("msg_id", F.coalesce("prev_is_from_me", F.lit(False)).alias("prev_mine"), F.coalesce("prev_session_id", F.lit("")).alias("prev_session"))
 
 
@@ -398,7 +399,7 @@ def _(a: Archive):
     SELECT msg_id, row_number() OVER (PARTITION BY chat_id ORDER BY ts_utc, msg_id) AS in_chat,
            row_number() OVER (PARTITION BY chat_id, session_id ORDER BY ts_utc, msg_id) AS in_session FROM messages""")
 def _(a: Archive):
-    rows = with_day_slice(a.messages.select("msg_id", "chat_id", "session_id", "ts_utc"), "ts_utc")
+    rows = with_even_slice(a.messages.select("msg_id", "chat_id", "session_id", "ts_utc"), ["chat_id"], ["ts_utc", "msg_id"])
     rows = with_running_sum(rows, ["chat_id"], ["ts_utc", "msg_id"], F.lit(1), "in_chat")
     rows = with_running_sum(rows, ["chat_id", "session_id"], ["ts_utc", "msg_id"], F.lit(1), "in_session")
     return shape(rows, msg_id="n", in_chat="n", in_session="n")

@@ -86,7 +86,7 @@ def _(a: Archive):
     SELECT c.msg_id AS reply_id, count(*) - 1 AS around, sum(o.char_len)::BIGINT AS chars FROM o c JOIN o USING (chat_id)
     WHERE o.rn BETWEEN c.rn - 4 AND c.rn + 3 GROUP BY 1""")
 def _(a: Archive):
-    rows = z.with_day_slice(z.direct_texts(a.star).select("msg_id", "chat_id", "ts_utc", "char_len"), "ts_utc")
+    rows = z.with_even_slice(z.direct_texts(a.star).select("msg_id", "chat_id", "ts_utc", "char_len"), ["chat_id"], z.ORDER)
     rows = z.with_running_sum(rows, ["chat_id"], z.ORDER, F.lit(1), "rn")
     asked = rows.select("chat_id", F.col("msg_id").alias("reply_id"), F.explode(F.sequence(F.col("rn") - 4, F.col("rn") + 3)).alias("rn"))
     found = asked.join(rows.select("chat_id", "rn", "char_len"), ["chat_id", "rn"]).groupBy("reply_id").agg(

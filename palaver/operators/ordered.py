@@ -1,10 +1,11 @@
 """Ordered computations that never hold a whole group in one task.
 
 A conversation may own a large part of all messages, so a window over
-``PARTITION BY chat`` would be a single-task sort. The rows of a group are cut into
-slices of the ordering column (by default calendar days). Windows run inside a slice;
-one summary row per slice carries the missing context across slice borders. The
-summary has at most (span of the order / slice width) rows per group.
+``PARTITION BY chat`` would be a single-task sort. The rows are cut into slices of
+about equal row count at quantiles of (group, order): however many rows share one
+group, day or instant, no slice is much larger than the others. Windows run inside
+(group, slice); one summary row of each carries the missing context across slice
+borders. The summary has one row per group and one more per slice.
 """
 from __future__ import annotations
 
@@ -15,8 +16,17 @@ from ..session import materialize
 SLICE = "_slice"
 
 
-def with_day_slice(df: DataFrame, ts: str, unit: str = "day") -> DataFrame:
-    return df.withColumn(SLICE, F.date_trunc(unit, F.col(ts)))
+def with_even_slice(df: DataFrame, keys: list[str], order: list[str], rows_each: int = 1 << 20) -> DataFrame:
+    """Adds a slice number that rises with ``order`` inside each group of ``keys``.
+
+    ``order`` must be unique in a group. Tables of at most ``rows_each`` rows are one
+    slice; larger ones are range-partitioned and written, so that the borders, which
+    come from a sample, stay the same for every later reader.
+    """
+    parts = max(1, -(-df.count() // rows_each))
+    if parts == 1:
+        return df.withColumn(SLICE, F.lit(0))
+    return materialize(df.repartitionByRange(parts, *keys, *order).withColumn(SLICE, F.spark_partition_id()), "slices")
 
 
 def with_previous(df: DataFrame, keys: list[str], order: list[str], columns: list[str],

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import text as tx
 from ..functions.body import body_text
 from ..functions.timefn import local_time, micros, source_time, year_label
-from ..operators.ordered import SLICE, with_day_slice, with_dense_id, with_previous, with_running_sum
+from ..operators.ordered import SLICE, with_dense_id, with_even_slice, with_previous, with_running_sum
+from ..session import materialize
 from ..sources.raw import (
     Tables, attachment_scan, contact_names, message_scan, override_names, read_star, write_star,
 )
@@ -95,7 +96,7 @@ def with_sessions(messages: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS) -
     session of a direct conversation. Rows need chat_id, ts_utc, msg_id, is_from_me, is_group.
     """
     order = ["ts_utc", "msg_id"]
-    sliced = with_previous(with_day_slice(messages, "ts_utc"), ["chat_id"], order, ["ts_utc", "is_from_me"])
+    sliced = with_previous(with_even_slice(messages, ["chat_id"], order), ["chat_id"], order, ["ts_utc", "is_from_me"])
     gap = micros(F.col("ts_utc")) - micros(F.col("prev_ts_utc"))
     sliced = sliced.withColumn("gap_us", gap)
     starts = F.when(F.col("gap_us") > gap_seconds * 1_000_000, 1).otherwise(0)
@@ -149,7 +150,7 @@ def derived_messages(raw: Tables, dims: Tables, zone: str = "UTC") -> DataFrame:
             "has_attachment": flag("cache_has_attachments") | F.coalesce("attached", F.lit(False))})
     )
     said = real_messages(raw["message"]).select("msg_id", text.alias("text")).withColumns(tx.text_stats(F.col("text")))
-    return with_sessions(rows).join(said, "msg_id")
+    return with_sessions(materialize(rows, "rows")).join(said, "msg_id")
 
 
 def derived_tapbacks(raw: Tables, dims: Tables) -> DataFrame:
@@ -202,8 +203,8 @@ def message_flow(messages: DataFrame) -> DataFrame:
     chat, ``double_text`` marks the same sender writing again after ten minutes or more.
     """
     order = ["ts_utc", "msg_id"]
-    rows = with_day_slice(
-        messages.select("msg_id", "chat_id", "session_id", "ts_utc", "ts_local", "is_from_me"), "ts_utc")
+    rows = with_even_slice(
+        messages.select("msg_id", "chat_id", "session_id", "ts_utc", "ts_local", "is_from_me"), ["chat_id"], order)
     rows = with_previous(rows, ["chat_id"], order, ["is_from_me", "session_id", "ts_utc"])
     same = F.col("prev_is_from_me") == F.col("is_from_me")
     waited = F.unix_seconds(F.col("ts_utc").cast("timestamp")) - F.unix_seconds(F.col("prev_ts_utc").cast("timestamp"))

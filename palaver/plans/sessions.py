@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx, vectors as v
 from ..functions.expr import let
-from ..operators.ordered import with_day_slice, with_previous
+from ..operators.ordered import with_even_slice, with_previous
 from ..operators.topk import top_per_group
 from ..sources.raw import Tables
 
@@ -84,7 +84,7 @@ def running_phrases(rows: DataFrame, docs: DataFrame) -> DataFrame:
     order, key = ["ts_utc", "msg_id"], ["session_id"]
     base = rows.join(docs.select("session_id"), "session_id", "left_semi").select(
         "session_id", "ts_utc", "msg_id", tx.found_words(F.col("text")).alias("words")).where(F.size("words") > 0)
-    base = with_day_slice(base.withColumn("last", F.element_at("words", -1)), "ts_utc")
+    base = with_even_slice(base.withColumn("last", F.element_at("words", -1)), key, order)
     base = with_previous(base, key, order, ["last"])
     stream = F.concat(F.array_compact(F.array("prev_last")), F.col("words"))
     base = base.withColumn("tail", let(stream, lambda s: F.slice(s, F.greatest(F.size(s) - 1, F.lit(1)), F.lit(2))))

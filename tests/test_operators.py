@@ -6,7 +6,7 @@ from palaver.operators.community import communities
 from palaver.operators.components import connected_components
 from palaver.operators.knn import nearest_neighbours
 from palaver.operators.matrix import debias, pick_kmeans
-from palaver.operators.ordered import with_day_slice, with_dense_id, with_previous
+from palaver.operators.ordered import SLICE, with_dense_id, with_even_slice, with_previous, with_running_sum
 from palaver.operators.percentiles import exact_percentiles
 from palaver.operators.spectral import laplacian_eigenpairs
 from palaver.plans.phrases import log_odds_within
@@ -21,10 +21,23 @@ def test_percentiles_match_numpy_with_a_hot_group(spark):
         assert np.allclose(got[k], np.quantile(v, [0.5, 0.9]))
 
 
-def test_previous_row_crosses_slices(spark):
+def test_previous_row_and_running_sum_cross_slices(spark):
     df = spark.sql("SELECT id % 3 AS k, id AS i, TIMESTAMP_NTZ '2024-01-01' + make_dt_interval(0, id * 7) AS t FROM range(60)")
-    got = {r["i"]: r["prev_i"] for r in with_previous(with_day_slice(df, "t"), ["k"], ["t", "i"], ["i"]).collect()}
-    assert got == {i: (i - 3 if i >= 3 else None) for i in range(60)}
+    for rows_each in (7, 1000):
+        sliced = with_running_sum(with_even_slice(df, ["k"], ["t", "i"], rows_each), ["k"], ["t", "i"], F.col("i"), "sum")
+        got = {r["i"]: (r["prev_i"], r["sum"]) for r in with_previous(sliced, ["k"], ["t", "i"], ["i"]).collect()}
+        assert got == {i: (i - 3 if i >= 3 else None, sum(range(i % 3, i + 1, 3))) for i in range(60)}
+
+
+def test_one_conversation_at_one_instant_is_cut_evenly(spark):
+    df = spark.sql("SELECT 1 AS k, id AS i, TIMESTAMP_NTZ '2024-01-01' AS t FROM range(20000)").union(
+        spark.sql("SELECT 2 + id % 5, 20000 + id, TIMESTAMP_NTZ '2024-01-02' FROM range(50)")).repartition(6)
+    sliced = with_even_slice(df, ["k"], ["t", "i"], 1000)
+    sizes = [r["count"] for r in sliced.groupBy(SLICE).count().collect()]
+    assert len(sizes) > 15 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    got = with_previous(with_running_sum(sliced, ["k"], ["t", "i"], F.lit(1), "n"), ["k"], ["t", "i"], ["i"])
+    assert got.where("k = 1 AND (n != i + 1 OR NOT (prev_i <=> nullif(i - 1, -1)))").count() == 0
+    assert got.where("k = 1").count() == 20000 and got.where("k > 1").agg(F.max("n")).first()[0] == 10
 
 
 def test_dense_ids(spark):
