@@ -5,8 +5,9 @@ its wrapper, an expression without unions: where streams agree the token stays,
 neighbours fold into a repeated group, what one stream lacks becomes optional, and text
 that differs becomes a slot. Texts that most different pages of the host share are
 fixed (counted first, so that they align with their like only). The wrapper says how much
-text its slots hold over all pages, which picks the part of the page that is the article;
-each page's text is then read from that part without the fixed texts, or, if the page does
+text its slots hold over all pages, which picks the part of the page that is the article; its
+optional and repeated groups show which parts inside are lists of reader comments and the
+like. Each page's text is read from the article without these and the fixed texts, or, if the page does
 not have it, from the part its own one-page wrapper picks.
 
 Wrappers are folded inside the tasks first, then in salted groups, then per host, so a
@@ -20,6 +21,7 @@ alike; other columns are not looked at.
 """
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html as entities
 import json
@@ -50,11 +52,12 @@ DROPPED = frozenset("head nav footer aside form script style noscript template b
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 # Words of class and id that hint at such a part.
 NAMES = frozenset(
-    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header hidden login masthead menu "
-    "modal nav navbar navigation newsletter notice notices pagination popup promo promoted related respond share sharing sidebar signup social sponsor "
+    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus footer header hidden login masthead menu "
+    "modal nav navbar navigation newsletter notice notices pagination popup promo promoted related replies respond share sharing sidebar signup social sponsor "
     "sponsored subscribe toolbar topbar widget".split())
 # Hints only as a whole name: in a compound (overflow-hidden, related-work, entry-header) they say too little.
-WEAK = frozenset("ad ads banner comment header hidden notice notices related respond share sharing social widget".split())
+WEAK = frozenset("ad ads banner comment discussion header hidden notice notices related replies respond share sharing social widget".split())
+LAYOUT = frozenset("has no with without".split())  # such a name (has-sidebar) says what stands beside or in the part
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 MAX_DEPTH = 64
 # What an open tag says of its part: nothing, never main text, or (a longer text) the hint it gives.
@@ -75,8 +78,9 @@ def _label(tag: str, attributes: str, known: set[str] | None) -> tuple[str, str]
         for name in own.get(kind, "").split():
             found = {w.lower() for w in WORD.findall(name)}
             words |= found
-            hints |= found & NAMES
-            strong |= bool(found & NAMES - WEAK) or name.lower() in NAMES
+            if not found & LAYOUT:
+                hints |= found & NAMES
+                strong |= bool(found & NAMES - WEAK) or name.lower() in NAMES
         names += sorted(words)
     role = own.get("role", "").lower()
     names += ["@main"] if role == "main" else []
@@ -270,24 +274,64 @@ def merge(a: list, b: list) -> list:
             a[DROP] and b[DROP], _align(a[CHILDREN], b[CHILDREN]), a[HINT] and b[HINT], a[FIXED] + b[FIXED]]
 
 
+def _pairs(a: list, b: list, small: int = 1 << 12) -> list[tuple[int, int]]:
+    """Increasing pairs of equal labels: a longest common subsequence where the table is small.
+
+    In longer lists the n-th use of a label meets the n-th use in the other list, the longest
+    increasing chain of such pairs stays, and the small gaps between its pairs are aligned exactly.
+    """
+    n, m = len(a), len(b)
+    if n * m <= small:
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n - 1, -1, -1):
+            for j in range(m - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        out, i, j = [], 0, 0
+        while i < n and j < m:
+            if a[i] == b[j]:
+                out.append((i, j))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+        return out
+    uses: dict[str, list[int]] = {}
+    for j, label in enumerate(b):
+        uses.setdefault(label, []).append(j)
+    seen: dict[str, int] = {}
+    ends: list[int] = []  # least last position in b of a chain of each length
+    chains: list[tuple | None] = []
+    for i, label in enumerate(a):
+        use = seen[label] = seen.get(label, -1) + 1
+        places = uses.get(label, ())
+        if use < len(places):
+            at = bisect.bisect_left(ends, places[use])
+            link = (i, places[use], chains[at - 1] if at else None)
+            ends[at:at + 1], chains[at:at + 1] = [places[use]], [link]
+    chain, link = [], chains[-1] if chains else None
+    while link:
+        chain.append(link[:2])
+        link = link[2]
+    out, i, j = [], 0, 0
+    for x, y in [*reversed(chain), (n, m)]:
+        if i < x and j < y and (x - i) * (y - j) <= small:
+            out += [(i + u, j + v) for u, v in _pairs(a[i:x], b[j:y], small)]
+        out += [(x, y)] if x < n else []
+        i, j = x + 1, y + 1
+    return out
+
+
 def _align(a: list[list], b: list[list]) -> list[list]:
-    """Longest common subsequence of labels; the rest is optional."""
-    if [x[LABEL] for x in a] == [x[LABEL] for x in b]:
+    """Nodes of equal labels merged in order; the rest is optional."""
+    left, right = [x[LABEL] for x in a], [x[LABEL] for x in b]
+    if left == right:
         return [merge(x, y) for x, y in zip(a, b)]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][LABEL] == b[j][LABEL] else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i][LABEL] == b[j][LABEL] and best[i][j] == best[i + 1][j + 1] + 1:
-            out.append(merge(a[i], b[j]))
-            i, j = i + 1, j + 1
-        else:
-            take = a[i] if j == m or (i < n and best[i + 1][j] >= best[i][j + 1]) else b[j]
-            i, j = (i + 1, j) if i < n and take is a[i] else (i, j + 1)
-            out.append([*take[:OPTIONAL], True, *take[OPTIONAL + 1:]])
+    for x, y in [*_pairs(left, right), (len(a), len(b))]:
+        out += [[*n[:OPTIONAL], True, *n[OPTIONAL + 1:]] for n in a[i:x] + b[j:y]]
+        out += [merge(a[x], b[y])] if x < len(a) and y < len(b) else []
+        i, j = x + 1, y + 1
     return out
 
 
@@ -358,23 +402,80 @@ def article_paths(wrapper: list) -> list[list[str]]:
     return sorted(out)
 
 
-def blocks(page: str, paths: list[list[str]], known: set[str] | None = None) -> list[str] | None:
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+RECORDS = frozenset("div li article".split())
+
+
+def side_paths(wrapper: list, paths: list[list[str]]) -> list[list[str]]:
+    """Labels down to the parts inside the article that the wrapper's groups show not to be its text.
+
+    A hinted part goes if it, or a part in it, is repeated, or if it is optional. Without a hint
+    a list goes that has the form of reader comments: optional, repeated, several slots in each
+    record and no heading, after the article's text with nothing but such lists behind it. Nothing goes if only headings would stay.
+    """
+    gone: dict[tuple, bool] = {}
+    kept: set[tuple] = set()
+
+    def slots(node: list) -> int:
+        return 0 if node[DROP] else (node[CHARS] > 0) + sum(slots(c) for c in node[CHILDREN])
+
+    def has(node: list, test) -> bool:
+        return test(node) or any(has(c, test) for c in node[CHILDREN])
+
+    def walk(node: list, path: tuple, optional: bool, before: bool) -> bool:
+        """Whether article text came before the end of this node."""
+        kept.add(path)
+        if node[CHARS] and path and path[-1].partition(".")[0] not in HEADINGS:
+            before = True
+            settle()
+        for c in node[CHILDREN]:
+            at, tag = (*path, c[LABEL]), c[LABEL].partition(".")[0]
+            some = optional or c[OPTIONAL]
+            if not slots(c):
+                continue
+            heading = has(c, lambda x: x[LABEL].partition(".")[0] in HEADINGS and x[CHARS])
+            if c[HINT] and (c[OPTIONAL] or has(c, lambda x: x[REPEATED])) and not has(c, lambda x: x[LABEL].partition(".")[0] == "h1" and x[CHARS]):
+                gone[at] = True
+            elif before and some and c[REPEATED] and tag in RECORDS and not heading and slots(c) > 1:
+                gone.setdefault(at, False)
+            else:
+                before = walk(c, at, some, before)
+        return before
+
+    def settle() -> None:
+        """Article text follows: lists so far without a hint are part of the article."""
+        kept.update(at for at, hinted in gone.items() if not hinted)
+
+    before = False
+    for path in paths:
+        nodes = [wrapper]
+        for label in path:
+            nodes = [c for n in nodes for c in n[CHILDREN] if c[LABEL] == label]
+        for node in nodes:
+            before = walk(node, tuple(path), False, before)
+    return sorted(list(at) for at in gone if at not in kept) if before else []
+
+
+def blocks(page: str, paths: list[list[str]], known: set[str] | None = None, gone: list[list[str]] | None = None) -> list[str] | None:
     """Text blocks of the parts at ``paths``; None if the page has none of them.
 
-    ``known``: the fixed texts of the host, which are left out; without them (a host with one page) a strong hint counts alone.
+    ``gone``: parts to leave out, as of ``side_paths``. ``known``: the fixed texts of the host, which are left out; without them (a host with one page) a strong hint counts alone.
     """
     out = []
     seen = whole = [] in paths
-    nodes = [((0,) * len(paths), whole, False, "p")]  # matched labels of each path, inside one, dropped, base of the texts
+    nodes = [((0,) * len(paths), whole, False, "p", gone or [])]  # matched labels of each path, inside one, dropped, base of the texts, paths to leave out that lead here
     for kind, value, said in parts(page, known):
-        depths, inside, off, base = nodes[-1]
+        depths, inside, off, base, ways = nodes[-1]
         if kind == "open":
             if not inside and not off:
                 depths = tuple(d + (d < len(p) and value == p[d]) for d, p in zip(depths, paths))
             off |= said == OFF or (inside and known is None and said.startswith(STRONG))
             inside |= not off and any(d == len(p) for d, p in zip(depths, paths))
             seen |= inside and not off
-            nodes.append((depths, inside, off, said if len(said) > 1 else base))
+            at = len(nodes)
+            ways = [p for p in ways if len(p) >= at and p[at - 1] == value]
+            off |= any(len(p) == at for p in ways)
+            nodes.append((depths, inside, off, said if len(said) > 1 else base, ways))
         elif kind == "close":
             nodes.pop()
         elif inside and not off and not (known and _key(base, value) in known):
@@ -382,8 +483,10 @@ def blocks(page: str, paths: list[list[str]], known: set[str] | None = None) ->
     return out if seen else None
 
 
-def extract(page: str | None, paths: list[list[str]] | None, known: set[str] | None = None) -> str:
-    found = blocks(page, paths, known) if page and paths is not None else None
+def extract(page: str | None, paths: list[list[str]] | None, known: set[str] | None = None, gone: list[list[str]] | None = None) -> str:
+    found = blocks(page, paths, known, gone) if page and paths is not None else None
+    if found == [] and gone:
+        found = blocks(page, paths, known)
     if found is None and page:
         found = blocks(page, article_paths(page_wrapper(page, known)), known)
     return "\n\n".join(found or [])
@@ -444,18 +547,20 @@ def main_text(pages: DataFrame, *carry: str) -> DataFrame:
         for batch in batches:
             wrappers = [json.loads(w) for w in batch["wrapper"]]
             paths = [article_paths(w) for w in wrappers]
-            yield pd.DataFrame({"host": batch["host"], "path": [json.dumps(p) for p in paths], "copied": [copies(w, p) for w, p in zip(wrappers, paths)]})
+            copied = [copies(w, p) for w, p in zip(wrappers, paths)]
+            gone = [json.dumps([] if c else side_paths(w, p)) for w, p, c in zip(wrappers, paths, copied)]
+            yield pd.DataFrame({"host": batch["host"], "path": [json.dumps(p) for p in paths], "gone": gone, "copied": copied})
 
     shared = materialize(host_facts(df), "hosts")
-    paths = host_wrappers(df.join(shared, "host", "left")).mapInPandas(choose, "host string, path string, copied boolean").join(shared, "host", "left")
+    paths = host_wrappers(df.join(shared, "host", "left")).mapInPandas(choose, "host string, path string, gone string, copied boolean").join(shared, "host", "left")
     paths = materialize(paths.withColumn("known", F.when(F.col("copied"), F.filter("known", lambda x: ~x.startswith("t:"))).otherwise(F.col("known"))), "paths")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [extract(h, None if p is None else json.loads(p), None if k is None else set(k))
-                     for h, p, k in zip(batch["html"], batch["path"], batch["known"])]
+            texts = [extract(h, None if p is None else json.loads(p), None if k is None else set(k), None if g is None else json.loads(g))
+                     for h, p, k, g in zip(batch["html"], batch["path"], batch["known"], batch["gone"])]
             yield batch[list(carry)].assign(text=texts)
 
     schema = ", ".join([f"`{c}` string" for c in carry] + ["text string"])
-    out = df.join(paths, "host", "left").select(*carry, "html", "path", "known").mapInPandas(read, schema)
+    out = df.join(paths, "host", "left").select(*carry, "html", "path", "gone", "known").mapInPandas(read, schema)
     return out.select(*[F.col(c).cast(kinds[c]) for c in carry], "text", F.length("text").cast("long").alias("n_chars"))

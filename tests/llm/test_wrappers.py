@@ -1,3 +1,9 @@
+import random
+import time
+from functools import lru_cache
+
+import pytest
+
 from palaver.llm import wrappers
 
 from .helpers import pages
@@ -99,3 +105,58 @@ def test_names_of_single_pages_do_not_enlarge_the_wrapper(spark):
     assert sizes[1] < 1.3 * sizes[0]
     got = extract(spark, [(i, f"http://a.org/{i}", page(i)) for i in range(20)])
     assert all(got[i][0] == f"T{i}\n\nText {i}\n\nmore {i}" for i in range(20))
+
+
+@pytest.mark.parametrize("box", ["section class=comments", "div class=replies", "ol id=discussion", "div class=x1"])
+def test_lists_of_reader_comments_are_left_out(spark, box):
+    def page(i, form):
+        notes = "".join(f"<div class=item><b>user{i}{j}</b><p>I think {i} {j}</p></div>" for j in range(i % 4))
+        return form.format(f"<h1>H{i}</h1>" + "".join(f"<p>Para {i} {k}</p>" for k in range(2 + i % 3)) + f"<{box}>{notes}</{box.split()[0]}>")
+
+    rows = []
+    for n, form in enumerate(("<body><nav>n</nav><article>{}</article></body>", "<body><nav>n</nav><div class=content>{}</div></body>", "<main>{}</main>")):
+        rows += [(100 * n + i, f"http://h{n}.org/{i}", page(i, form)) for i in range(12)]
+    for i, (got, _) in extract(spark, rows).items():
+        assert got == "\n\n".join([f"H{i % 100}"] + [f"Para {i % 100} {k}" for k in range(2 + i % 100 % 3)])
+
+
+def test_repeated_and_optional_parts_of_the_article_stay(spark):
+    forms = {
+        "a": lambda i: f"<article><h1>T{i}</h1><p>lead {i}</p>" + "".join(f"<section><h2>part {i} {k}</h2><p>text {i} {k}</p><p>more {i} {k}</p></section>" for k in range(i % 4)) + "</article>",
+        "b": lambda i: f"<main class=x><h1>T{i}</h1><div class='layout has-sidebar'><p>one {i}</p><p>two {i}</p></div></main>",
+        "c": lambda i: f"<article><h1>T{i}</h1><p>lead {i}</p><ul>" + "".join(f"<li>point {i} {k}<p>why {i} {k}</p></li>" for k in range(i % 3)) + f"</ul><p>end {i}</p></article>",
+    }
+    rows = [(100 * n + i, f"http://{host}.org/{i}", form(i)) for n, (host, form) in enumerate(forms.items()) for i in range(12)]
+    got = extract(spark, rows)
+    for i in range(12):
+        assert got[i][0].split("\n\n") == [f"T{i}", f"lead {i}"] + [f"{w} {i} {k}" for k in range(i % 4) for w in ("part", "text", "more")]
+        assert got[100 + i][0] == f"T{i}\n\none {i}\n\ntwo {i}"
+        assert got[200 + i][0].split("\n\n") == [f"T{i}", f"lead {i}"] + [f"{w} {i} {k}" for k in range(i % 3) for w in ("point", "why")] + [f"end {i}"]
+
+
+def test_alignment_equals_plain_recursion_and_long_lists_take_linear_time():
+    def longest(a, b):
+        @lru_cache(None)
+        def most(i, j):
+            if i == len(a) or j == len(b):
+                return 0
+            return max(most(i + 1, j), most(i, j + 1), (a[i] == b[j]) + most(i + 1, j + 1) if a[i] == b[j] else 0)
+
+        return most(0, 0)
+
+    dice = random.Random(1)
+    for _ in range(60):
+        a, b = ([dice.choice("pqrst") for _ in range(dice.randrange(12))] for _ in "ab")
+        for small in (1 << 12, 6):
+            pairs = wrappers._pairs(a, b, small)
+            assert all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
+            assert len(pairs) == longest(a, b) if small > 6 else len(pairs) <= longest(a, b)
+    a = [dice.choice(["p", "div.a", "div.b", "h2", "ul", f"x{k}"]) for k in range(20000)]
+    b = [label for label in a if dice.random() < 0.9]
+    start = time.time()
+    assert len(wrappers._pairs(a, b)) > 3000 and len(wrappers._pairs(a, a)) == 20000
+    page = "<article>" + "".join(f"<{t}>w{k}</{t}>" for k, t in enumerate(dice.choices(["p", "h2", "pre", "div", "ul"], k=20000))) + "</article>"
+    one, two = wrappers.page_wrapper(page), wrappers.page_wrapper(page.replace("<pre>", "<table>", 500))
+    merged = wrappers.merge(one, two)
+    assert time.time() - start < 30 and merged[wrappers.PAGES] == 2
+    assert wrappers.extract(page, wrappers.article_paths(one)).count("\n\n") == 19999
