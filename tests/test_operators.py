@@ -9,6 +9,7 @@ from palaver.operators.matrix import debias, pick_kmeans
 from palaver.operators.ordered import SLICE, with_dense_id, with_even_slice, with_previous, with_running_sum
 from palaver.operators.percentiles import exact_percentiles
 from palaver.operators.spectral import laplacian_eigenpairs
+from palaver.plans.client import rerank
 from palaver.plans.phrases import log_odds_within
 
 
@@ -140,3 +141,12 @@ def test_communities_do_not_depend_on_the_graphs_beside_them(spark):
     both = communities(nodes, edges, (1.0,)).where("graph = 'small'")
     alone = communities(nodes.where("graph = 'small'"), edges.where("graph = 'small'"), (1.0,))
     assert sorted((r.id, r.cluster_id) for r in both.collect()) == sorted((r.id, r.cluster_id) for r in alone.collect())
+
+
+def test_ranks_count_all_contacts(spark):
+    people = spark.range(1, 131).selectExpr("id person_id", "1000 - id total", "id sent", "timestamp'2024-01-30 00:00:00' last_ts")
+    assert rerank(people, "sent", "2024-01-31 00:00:00").count() == 130
+    shown = {r["person_id"]: r["rank"] for r in rerank(people, "sent", "2024-01-31 00:00:00", hide_quiet=True, shown=100).collect()}
+    assert shown == {i: 131 - i for i in range(1, 101)}
+    best = {r["person_id"]: r["rank"] for r in rerank(people, "sent", "2024-01-31 00:00:00", top=3).collect()}
+    assert best == {1: 3, 2: 2, 3: 1}
