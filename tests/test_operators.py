@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from palaver.operators.ordered import SLICE, with_dense_id, with_even_slice, wit
 from palaver.operators.percentiles import exact_percentiles
 from palaver.operators.spectral import laplacian_eigenpairs
 from palaver.plans.client import rerank
-from palaver.plans.phrases import log_odds_within
+from palaver.plans.phrases import log_odds, log_odds_within
 
 
 def test_percentiles_match_numpy_with_a_hot_group(spark):
@@ -143,6 +145,20 @@ def test_communities_do_not_depend_on_the_graphs_beside_them(spark):
     assert sorted((r.id, r.cluster_id) for r in both.collect()) == sorted((r.id, r.cluster_id) for r in alone.collect())
 
 
+def test_log_odds_of_a_scope_that_is_its_whole_corpus(spark):
+    """All scores are rounding errors around zero: their order is that of the C library's logarithm."""
+    n = 1_007_922
+    rows = spark.range(5, 20005).selectExpr("'all' scope", "format_string('p%06d', id) phrase", "id count", "0L rest")
+    totals = spark.createDataFrame([("all", n, 0)], "scope string, n_target long, n_background long")
+    got = [r["phrase"] for r in log_odds(rows, totals, 5, 15).orderBy("rank").collect()]
+
+    def score(y):
+        a = 10.0 * (y + 0.0) / (n + 0.0)
+        return (math.log((y + a) / (n + 10.0 - y - a)) - math.log((0.0 + a) / (0.0 + 10.0 - 0.0 - a))) / math.sqrt(1.0 / (y + a) + 1.0 / (0.0 + a))
+
+    assert got == [f"p{y:06d}" for y in sorted(range(5, 20005), key=lambda y: (-score(float(y)), y))[:15]]
+
+
 def test_ranks_count_all_contacts(spark):
     people = spark.range(1, 131).selectExpr("id person_id", "1000 - id total", "id sent", "timestamp'2024-01-30 00:00:00' last_ts")
     assert rerank(people, "sent", "2024-01-31 00:00:00").count() == 130
