@@ -41,7 +41,7 @@ def _(a: Archive):
     SELECT trim(text) AS text, count(*) AS count FROM messages WHERE is_from_me AND length(trim(text)) >= 8
     GROUP BY 1 HAVING count >= 3 ORDER BY 2 DESC, 1 LIMIT 10""")
 def _(a: Archive):
-    return shape(o.repeated_sentences(a.messages), text="s", count="n")
+    return shape(o.repeated_sentences(a.said), text="s", count="n")
 
 
 @register("q17_owner_top_emojis", """
@@ -83,7 +83,7 @@ def _(a: Archive):
     WHERE is_from_me AND regexp_matches(replace(lower(text), '’', ''''), '\bthing\b')
     GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5""")
 def _(a: Archive):
-    return shape(o.word_context(a.messages, "thing"), text="s", count="n")
+    return shape(o.word_context(a.said, "thing"), text="s", count="n")
 
 
 @register("q22_vernacular_timeline", """
@@ -106,7 +106,7 @@ def _(a: Archive):
     FROM messages WHERE is_from_me AND length(trim(text)) >= 8
     GROUP BY 1, 2 HAVING count(*) >= 2 QUALIFY rank <= 5""")
 def _(a: Archive):
-    return shape(o.catchphrase_timeline(a.messages), year="s", text="s", count="n", rank="n")
+    return shape(o.catchphrase_timeline(a.said), year="s", text="s", count="n", rank="n")
 
 
 @register("q25_owner_hot_days", f"""

@@ -64,7 +64,7 @@ def _(a: Archive):
            count(*) FILTER (length(trim(text)) >= 100) AS long FROM messages""")
 def _(a: Archive):
     size = F.char_length(F.trim("text"))
-    return a.messages.agg(F.count("text").alias("present"), F.count_if(size > 0).alias("filled"), F.count_if(size >= 100).alias("long"))
+    return a.said.agg(F.count("text").alias("present"), F.count_if(size > 0).alias("filled"), F.count_if(size >= 100).alias("long"))
 
 
 @register("f8_whole_word", rf"SELECT doc_id FROM documents WHERE regexp_matches({FOLDED}, '\bthe\b')")
@@ -97,7 +97,7 @@ def _(a: Archive):
     SELECT session_id, count(*) AS n, sum(word_count)::BIGINT AS words FROM messages WHERE length(trim(text)) > 0
     GROUP BY 1 HAVING count(*) >= 3 AND sum(word_count) >= 20""")
 def _(a: Archive):
-    said = a.messages.where(F.char_length(F.trim("text")) > 0)
+    said = a.said.where(F.char_length(F.trim("text")) > 0)
     return said.groupBy("session_id").agg(n(), F.sum("word_count").alias("words")).where("n >= 3 AND words >= 20")
 
 
@@ -210,8 +210,8 @@ def _(a: Archive):
 def _(a: Archive):
     text = F.trim("text").alias("t")
     split = F.lit("2024-01-11").cast("timestamp_ntz")
-    cached = a.messages.where(F.col("ts_local") < split).select(text)
-    fresh = a.messages.where((F.col("ts_local") >= split) & (F.char_length(F.trim("text")) > 0)).select(text).distinct()
+    cached = a.said.where(F.col("ts_local") < split).select(text)
+    fresh = a.said.where((F.col("ts_local") >= split) & (F.char_length(F.trim("text")) > 0)).select(text).distinct()
     return fresh.join(cached, "t", "left_anti").agg(n())
 
 
@@ -295,7 +295,7 @@ def _(a: Archive):
     GROUP BY 1 HAVING count(*) >= 3 AND count(*) FILTER (NOT is_from_me) >= 2""")
 def _(a: Archive):
     direct = a.chats.where(~F.col("is_group")).select("chat_id")
-    rows = a.messages.where(F.col("text").isNotNull()).groupBy("chat_id", "session_id").agg(n(), F.count_if(~common.mine()).alias("theirs"))
+    rows = a.said.where(F.col("text").isNotNull()).groupBy("chat_id", "session_id").agg(n(), F.count_if(~common.mine()).alias("theirs"))
     return rows.where("n >= 3 AND theirs >= 2").join(direct, "chat_id", "left_semi").select("session_id", "n")
 
 

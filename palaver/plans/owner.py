@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as tx, timefn as tf
 from ..operators.topk import top_per_group
-from ..sources.raw import Tables
+from ..sources.raw import Tables, with_text
 from .common import block_facts, mine, sent_received
 
 
@@ -116,7 +116,7 @@ def hot_days(star: Tables, k: int = 10) -> DataFrame:
 def day_transcripts(star: Tables, day: str | None = None, max_lines: int = 80, max_chats: int = 8,
                     max_chars: int = 16_000) -> DataFrame:
     """One transcript per day: the busiest conversations, each with a header and its first lines."""
-    messages = star["messages"].where(F.col("text").isNotNull())
+    messages = with_text(star).where(F.col("text").isNotNull())
     if day:
         messages = messages.where(tf.on_day(F.col("ts_local"), day))
     rows = (

@@ -2,6 +2,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from catalog.base import Archive
 from palaver.plans import groups as g, ingest, owner as o, persons as p
 from palaver.sources.schemas import RAW
 
@@ -79,3 +80,23 @@ def test_group_queries(star):
     you = g.member_stats(star).where("member_id = 0").first()
     assert (you["count"], you["sessions_total"], you["sessions_ended"]) == (1, 1, 1)
     assert [(r["kind"], r["member_id"]) for r in g.member_reactions(star).where("direction = 'given'").collect()] == [("laugh", 2)]
+
+
+def test_shared_texts_are_kept_once(spark, tmp_path):
+    """Events that say one document share its text: no message table holds texts, tables are written when read."""
+    at = datetime(2024, 1, 3)
+    events = [(i, at, 10 + i % 3, kind, 50.0 * (kind == "signup" and i > 90), '{"k": 1}')
+              for i, kind in enumerate(["view", "click", "signup", "purchase", "error"] * 20)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(
+        f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(0, "hello there friend"), (1, ""), (2, "bye")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    archive = Archive.of(spark, str(tmp_path))
+    assert archive.chats.count() == 1 and "messages" not in archive.star and "word_uses" not in archive.star
+    assert "text" not in archive.messages.columns and "word_uses" not in archive.star
+    got = {r["msg_id"]: (r["text"], r["char_len"], r["word_count"], r["emoji_count"]) for r in archive.said.collect()}
+    assert len(got) == 78 and got[0] == ("hello there friend", 18, 3, 0) and got[1] == (" 😂", 2, 1, 1)
+    assert got[2] == ("bye 🎉🎉", 6, 2, 2) and got[3] == (None, 0, 0, 0) and got[10] == (None, 0, 0, 0)
+    raw = {r["msg_id"]: r for r in archive.raw["message"].collect()}
+    assert len(raw) == 100 and raw[2]["text"] is None and raw[10]["text"] == "" and raw[1]["text"] == " 😂"
+    uses = {(r["word"], r["count"]) for r in archive.word_uses.where("word = 'friend'").groupBy("word").sum("count").toDF("word", "count").collect()}
+    assert uses == {("friend", sum((t or "").startswith("hello") for t, *_ in got.values()))}
