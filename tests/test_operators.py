@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from palaver.operators.bands import blocks_of, cover_of
 from palaver.operators.community import communities
 from palaver.operators.components import connected_components
+from palaver.operators import knn
 from palaver.operators.knn import nearest_neighbours
 from palaver.operators.matrix import debias, pick_kmeans
 from palaver.operators.ordered import SLICE, with_dense_id, with_even_slice, with_previous, with_running_sum
@@ -74,6 +75,30 @@ def test_neighbours_equal_brute_force_with_copies(spark):
         assert got[i] == order[:5]
 
 
+def test_neighbours_of_several_groups(spark):
+    """More rows than one group of queries holds, text ids, many ties; a group keeps only its best rows."""
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(2500, 3)), 1)
+    x = x[np.linalg.norm(x, axis=1) > 0]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    names = [f"{i % 7}:{i}" for i in range(len(x))]
+    df = spark.createDataFrame([(n, [float(v) for v in row]) for n, row in zip(names, x)], "id string, embedding array<double>")
+    got = {}
+    for r in nearest_neighbours(df, k=9, block=100).orderBy("src", "rank").collect():
+        got.setdefault(r["src"], []).append((round(r["dist"], 8), r["dst"]))
+    assert len(got) == len(x) and all(len(v) == 9 for v in got.values())
+    d = np.maximum(1 - u @ u.T, 0)
+    for i in range(0, len(x), 50):
+        best = np.sort(np.delete(d[i], i))[:9]
+        assert np.allclose([a for a, _ in got[names[i]]], best, atol=1e-8) and names[i] not in [b for _, b in got[names[i]]]
+        assert got[names[i]] == sorted(got[names[i]])
+    best = knn._Best(np.arange(500), rng.normal(size=(500, 8)), 6)
+    for _ in range(20):
+        best.meet(np.arange(1000), rng.normal(size=(1000, 8)))
+        best.merge()
+        assert len(best.held[0]) == 500 * 6
+
+
 def two_cliques(spark):
     edges = [(a, b, 1.0) for base in (0, 10) for a in range(base, base + 6) for b in range(a + 1, base + 6)]
     return spark.sql("SELECT id FROM range(6) UNION ALL SELECT id + 10 FROM range(6) UNION ALL SELECT 99L"), edges
