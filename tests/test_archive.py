@@ -3,6 +3,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from catalog.base import Archive
+from palaver.functions.stopwords import STOPWORDS
 from palaver.plans import groups as g, ingest, owner as o, persons as p
 from palaver.sources.schemas import RAW
 
@@ -100,3 +101,20 @@ def test_shared_texts_are_kept_once(spark, tmp_path):
     assert len(raw) == 100 and raw[2]["text"] is None and raw[10]["text"] == "" and raw[1]["text"] == " 😂"
     uses = {(r["word"], r["count"]) for r in archive.word_uses.where("word = 'friend'").groupBy("word").sum("count").toDF("word", "count").collect()}
     assert uses == {("friend", sum((t or "").startswith("hello") for t, *_ in got.values()))}
+
+
+def test_words_become_rows_where_they_are_counted(spark, star):
+    """One row a message is shuffled; an author's words are dealt to several tasks when there are many messages."""
+    rows = star["messages"].select("chat_id", "person_id", "is_from_me", F.date_format("ts_local", "yyyy").alias("year"), "text")
+    want = {}
+    for r in rows.where("text IS NOT NULL").collect():
+        for w in "".join(c if c in "abcdefghijklmnopqrstuvwxyz'" else " " for c in r["text"].lower()).split(" "):
+            if len(w) >= 3 and w not in STOPWORDS:
+                key = (r["chat_id"], r["person_id"], r["is_from_me"], r["year"], w)
+                want[key] = want.get(key, 0) + 1
+    assert {tuple(r)[:5]: r["count"] for r in star["word_uses"].collect()} == want
+    dealt = ingest.word_uses(star, 1)
+    found = [tuple(r) for r in dealt.collect()]
+    assert {r[:5]: r[5] for r in found} == want and len(found) == len(want)
+    plan = dealt._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.index("Generate explode(split(words") < plan.index("Exchange")
