@@ -118,3 +118,19 @@ def test_words_become_rows_where_they_are_counted(spark, star):
     assert {r[:5]: r[5] for r in found} == want and len(found) == len(want)
     plan = dealt._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.index("Generate explode(split(words") < plan.index("Exchange")
+
+
+def _small_archive(spark, folder, texts, n=60):
+    """Events of three people, one in a few minutes, that say the given documents in turn."""
+    kinds = ["view", "click", "signup", "purchase", "error", "view"]
+    events = [(i, datetime(2024, 1, 3, i // 12, i % 12 * 4), 10 + i % 3, kinds[i % 6], 1.0, '{"k": 1}') for i in range(n)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(
+        f"{folder}/events.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return Archive.of(spark, str(folder))
+
+
+def test_people_are_not_worked_out_from_events_again(spark, tmp_path):
+    raw = _small_archive(spark, tmp_path, ["hello there"]).raw
+    for name in ("handle", "contact", "contact_phone", "contact_email"):
+        assert raw[name].count() and not any("events.parquet" in f for f in raw[name].inputFiles()), name
