@@ -3,6 +3,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from catalog.base import Archive
+from palaver.functions import text as tx
 from palaver.functions.stopwords import STOPWORDS
 from palaver.plans import groups as g, ingest, owner as o, persons as p
 from palaver.sources.schemas import RAW
@@ -134,3 +135,21 @@ def test_people_are_not_worked_out_from_events_again(spark, tmp_path):
     raw = _small_archive(spark, tmp_path, ["hello there"]).raw
     for name in ("handle", "contact", "contact_phone", "contact_email"):
         assert raw[name].count() and not any("events.parquet" in f for f in raw[name].inputFiles()), name
+
+
+def test_facts_of_shared_texts(spark):
+    """Facts of a text with a tail are those of both joined, also where an emoji or a word reaches over the border; texts are not shuffled."""
+    texts = [None, "", "  ", " hi there  ", "\n", "👍", "a 1", "so ", "ends 🇩", "x" * 50]
+    tails = [None, "", " ", " 😂", " 🎉🎉 ", "🏽", "🇪 y", "word", "️⃣"]
+    scan = spark.createDataFrame(list(enumerate(texts)), "text_key long, text string")
+    raw = {"text_scan": scan, "message_row": spark.createDataFrame([(t,) for t in tails], "text_tail string")}
+    facts = ingest.text_facts(raw)
+    both = spark.createDataFrame([(k, a, t, a + t or None) for k, a in enumerate(texts) if a is not None for t in tails if t is not None],
+                                 "text_key long, a string, text_tail string, text string")
+    trimmed = F.trim(F.concat("a", "text_tail"))
+    want = both.withColumns({**tx.text_stats(F.col("text")), "size": F.char_length(trimmed), "said": F.unhex(F.md5(trimmed))})
+    columns = ["text_key", "text_tail", "char_len", "word_count", "emoji_count", "size", "said"]
+    got = {tuple(r) for r in facts.select(columns).collect()}
+    blank = {(0, t, 0, 0, 0, 0, None) for t in tails if t is not None}
+    assert got == {tuple(r) for r in want.select(columns).collect()} | blank
+    assert "Exchange" not in facts._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
