@@ -1,11 +1,13 @@
+import random
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from catalog import QUERIES, sessions
 from catalog.base import Archive
 from palaver.functions import text as tx
 from palaver.functions.stopwords import STOPWORDS
-from palaver.plans import groups as g, ingest, owner as o, persons as p
+from palaver.plans import groups as g, ingest, owner as o, persons as p, sessions as s_plans
 from palaver.sources.schemas import RAW
 
 
@@ -153,3 +155,40 @@ def test_facts_of_shared_texts(spark):
     blank = {(0, t, 0, 0, 0, 0, None) for t in tails if t is not None}
     assert got == {tuple(r) for r in want.select(columns).collect()} | blank
     assert "Exchange" not in facts._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
+
+
+def test_hashes_of_transcripts_write_no_texts(spark, tmp_path):
+    archive = _small_archive(spark, tmp_path, ["some words said by everyone here", "a", "  more of them now  "])
+    rows = {r["session_id"]: r["text_hash"] for r in QUERIES["x14_transcript_hash"](spark, str(tmp_path)).collect()}
+    assert rows and "transcripts" not in archive.__dict__["_kept"]
+    assert rows == {r["session_id"]: r["text_hash"] for r in sessions.transcripts(archive).collect()}
+
+
+def test_transcripts_read_what_shows(spark):
+    """Clipped by lengths alone as if all texts were joined; texts of lines that do not show need not exist."""
+    rng, rows, texts, want = random.Random(4), [], {}, {}
+    for s in range(60):
+        lines, names = [], [None, " ", "Ann Lee", "Bartholomew"]
+        for i in range(rng.choice([3, 8, 40])):
+            size = rng.choice([1, 5, 300, 1200, 3990, 3993, 3995, 3996, 5000])
+            body = "".join(rng.choice("ab 😂\n") for _ in range(size))
+            key, tail, mine, sender = len(texts), rng.choice(["", " 😂", " "]), rng.random() < 0.5, rng.choice(names)
+            text = ((" " * rng.choice([0, 3]) + body) + tail).strip(" ")
+            if not text:
+                continue
+            lines.append(("Me" if mine else "Them", "Me" if mine else (sender or "").split(" ")[0] or "Them", text))
+            texts[key] = (" " * rng.choice([0, 3]) + body, sum(len(x[0]) + len(x[2]) + 3 for x in lines[:-1]) <= 4000
+                          or sum(len(x[1]) + len(x[2]) + 3 for x in lines[:-1]) <= 4000)
+            rows.append((str(s), i, i, mine, sender, len(text), key, tail, text))
+        want[str(s)] = tuple("\n".join(f"{x[w]}: {x[2]}" for x in lines)[:4000] for w in (0, 1))
+    exact = "x" * (4000 - len("Me: \n"))  # the break behind this line is the last character
+    rows += [("edge", 0, 0, True, None, len(exact), len(texts), "", exact), ("edge", 1, 1, True, None, 3, len(texts) + 1, "", "end")]
+    texts |= {len(texts): (exact, True), len(texts) + 1: ("end", True)}
+    want["edge"] = (f"Me: {exact}\n",) * 2
+    df = spark.createDataFrame(rows, "session_id string, msg_id long, ts_utc long, is_from_me boolean, sender string, size int, "
+                                     "text_key long, text_tail string, text string")
+    docs = df.select("session_id").distinct()
+    shown = spark.createDataFrame([(k, t) for k, (t, shows) in texts.items() if shows], "text_key long, text string")
+    for got in (s_plans.transcripts(df.drop("text"), docs, shown), s_plans.transcripts(df.drop("text_key", "text_tail"), docs)):
+        found = {r["session_id"]: (r["conv_text"], r["disp_text"]) for r in got.collect()}
+        assert found == want and any(not shows for _, shows in texts.values())
