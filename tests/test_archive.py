@@ -3,7 +3,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from catalog import QUERIES, sessions
+from catalog import QUERIES, language, sessions
 from catalog.base import Archive
 from palaver.functions import text as tx
 from palaver.functions.stopwords import STOPWORDS
@@ -192,3 +192,16 @@ def test_transcripts_read_what_shows(spark):
     for got in (s_plans.transcripts(df.drop("text"), docs, shown), s_plans.transcripts(df.drop("text_key", "text_tail"), docs)):
         found = {r["session_id"]: (r["conv_text"], r["disp_text"]) for r in got.collect()}
         assert found == want and any(not shows for _, shows in texts.values())
+
+
+def test_messages_are_numbered_by_text_without_texts(spark, tmp_path):
+    archive = _small_archive(spark, tmp_path, ["one two", " one two ", None, "", "three"])
+    named = {r["msg_id"]: r["text_id"] for r in language.said(archive).collect()}
+    assert "texts" not in archive.__dict__["_kept"]
+    first, want = {}, {}
+    for r in archive.said.orderBy("msg_id").collect():
+        text = (r["text"] or "").strip(" ")
+        if text:
+            want[r["msg_id"]] = first.setdefault(text, r["msg_id"])
+    assert named == want and len(set(want.values())) < len(want)
+    assert {(r["text"], r["text_id"]) for r in language.texts(archive).collect()} == set(first.items())
