@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from palaver.operators.bands import blocks_of, cover_of
+from palaver.operators import community
 from palaver.operators.community import communities
 from palaver.operators.components import connected_components
 from palaver.operators import knn
@@ -191,3 +192,17 @@ def test_ranks_count_all_contacts(spark):
     assert shown == {i: 131 - i for i in range(1, 101)}
     best = {r["person_id"]: r["rank"] for r in rerank(people, "sent", "2024-01-31 00:00:00", top=3).collect()}
     assert best == {1: 3, 2: 2, 3: 1}
+
+
+def test_communities_of_several_parts(spark, monkeypatch):
+    """Layers dealt to parts give what one part gives; rounds of a layer of one part write nothing, others write their mail and no edges."""
+    rng = np.random.default_rng(8)
+    rows = [(f"n{i:02d}", f"n{j:02d}", float(rng.random() + 0.5)) for i in range(48) for j in range(i) if rng.random() < (0.7 if i // 8 == j // 8 else 0.04)]
+    edges = spark.createDataFrame(rows, "a string, b string, w double")
+    nodes = spark.createDataFrame([(f"n{i:02d}",) for i in range(49)], "id string")
+    written, materialize = [], community.materialize
+    monkeypatch.setattr(community, "materialize", lambda df, name="step": written.append(name) or materialize(df, name))
+    one = sorted(tuple(r) for r in communities(nodes, edges, (0.5, 2.0)).collect())
+    assert "moved" not in written and len({c for _g, gamma, _id, c in one if gamma == 2.0}) >= 6
+    monkeypatch.setattr(community, "NODES_EACH", 9)
+    assert sorted(tuple(r) for r in communities(nodes, edges, (0.5, 2.0)).collect()) == one and "moved" in written
